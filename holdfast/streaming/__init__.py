@@ -1,0 +1 @@
+"""Empty on purpose: the evaluated workload has no streaming operator (see README)."""
