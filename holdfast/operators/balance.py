@@ -181,12 +181,13 @@ def synthetic_rows(
     """
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     bits = 12
-    spread = train.agg(
+    spread = train.groupBy("seed").agg(
         *[F.avg(F.col(f).cast("double")).alias(f"_m_{f}") for f in features],
         *[F.stddev_pop(F.col(f).cast("double")).alias(f"_s_{f}") for f in features],
     )
+    spread = settle(spread, groups)
     rows = join_small(even_copies(train, groups), class_sizes(train, groups), ["seed", "y"], rows=groups)
-    rows = rows.filter(F.col("n") < F.col("n_max")).crossJoin(F.broadcast(spread))
+    rows = join_small(rows.filter(F.col("n") < F.col("n_max")), spread, ["seed"], rows=groups)
 
     def z(f: str):
         x = (F.col(f).cast("double") - F.col(f"_m_{f}")) / F.nullif(F.col(f"_s_{f}"), F.lit(0.0))
@@ -204,7 +205,7 @@ def synthetic_rows(
         rows.withColumn("_proj", projection(0))
         .withColumn("_cell", pattern.substr(F.lit(1), wanted))
         .withColumn("_vec", vec)
-        .drop(*spread.columns, "n", "n_max")
+        .drop(*[c for c in spread.columns if c != "seed"], "n", "n_max")
     )
     cells = rows.groupBy("seed", "y", "_cell").agg(F.count("*").alias("_c"))
     parts = F.ceil(F.col("_c") / F.lit(float(block)))

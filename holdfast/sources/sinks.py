@@ -69,22 +69,19 @@ def model_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_rows(
-    metrics: DataFrame, script: str, config: str, input_fp: DataFrame, by: Sequence[str] = ("experiment", "seed")
+    metrics: DataFrame, script: str, config: str, input_fp: str, by: Sequence[str] = ("experiment", "seed")
 ) -> DataFrame:
-    """One row per (experiment, seed); the result id is a digest of that seed's metrics.
-
-    `input_fp` is the one-row output of `fingerprint`.
-    """
+    """One row per (experiment, seed); the result id is a digest of that seed's metrics."""
     line = F.concat_ws("|", "model", "strategy", "metric", F.round("value", 6).cast("decimal(18,6)").cast("string"))
     results = metrics.groupBy(*by).agg(
         F.md5(F.concat_ws(";", F.array_sort(F.collect_list(line)))).alias("result_id")
     )
-    return results.crossJoin(F.broadcast(input_fp.select(F.col("fingerprint").alias("input_fp")))).select(
+    return results.select(
         "experiment",
         F.lit(script).alias("script"),
         F.lit(config).alias("config"),
         "seed",
-        "input_fp",
+        F.lit(input_fp).alias("input_fp"),
         "result_id",
         F.current_timestamp().alias("created_at"),
     )
