@@ -64,17 +64,20 @@ def _mark(df: DataFrame, how: str) -> DataFrame:
 
 def class_sizes(train: DataFrame, groups: int | None = None) -> DataFrame:
     """`(seed, y, n, n_max)`: seeds x classes rows, settled."""
-    sizes = (
-        train.groupBy("seed", "y")
-        .agg(F.count("*").alias("n"))
-        .withColumn("n_max", F.max("n").over(W.partitionBy("seed")))
-    )
-    return settle(sizes, groups)
+    return settle(_with_largest(train.groupBy("seed", "y").agg(F.count("*").alias("n"))), groups)
+
+
+def _with_largest(sizes: DataFrame) -> DataFrame:
+    return sizes.withColumn("n_max", F.max("n").over(W.partitionBy("seed")))
+
 
+def even_copies(train: DataFrame, groups: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds `copies`: n_max div n, plus one for the first n_max % n rows of a class.
 
-def even_copies(train: DataFrame, groups: int | None = None) -> DataFrame:
-    """Adds `copies`: n_max div n, plus one for the first n_max % n rows of a class."""
-    sizes = class_sizes(train, groups).withColumn("k", F.col("n_max") % F.col("n"))
+    `sizes` `(seed, y, n)` saves counting where the split already fixes them.
+    """
+    sizes = class_sizes(train, groups) if sizes is None else _with_largest(sizes)
+    sizes = sizes.withColumn("k", F.col("n_max") % F.col("n"))
     keyed = train.withColumn("key", draw_key(F.col("seed"), "os", F.col("id")))
     thr = kth_key(keyed, ["seed", "y"], sizes, groups=groups)
     params = join_small(
@@ -98,13 +101,15 @@ def _repeat(df: DataFrame) -> DataFrame:
     )
 
 
-def unbalanced_and_even(train: DataFrame, groups: int | None = None) -> DataFrame:
+def unbalanced_and_even(
+    train: DataFrame, groups: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
     """Both compared strategies out of one pass over the training rows."""
     plans = F.array(
         F.struct(F.lit(NAMES["none"]).alias("strategy"), F.lit(1).alias("copies")),
         F.struct(F.lit(NAMES["even"]).alias("strategy"), F.col("copies").alias("copies")),
     )
-    both = even_copies(train, groups).withColumn("_plan", F.explode(plans))
+    both = even_copies(train, groups, sizes).withColumn("_plan", F.explode(plans))
     return _repeat(
         both.withColumn("strategy", F.col("_plan.strategy"))
         .withColumn("copies", F.col("_plan.copies"))
@@ -179,33 +184,35 @@ def synthetic_rows(
     hold too many rows (equal vectors, say) are cut by a hash, so no window sees more
     than about `block` rows and no pairs are written out.
     """
-    vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     bits = 12
+    x = {f: F.col(f).cast("double") for f in features}
+    zeros = F.array(*[F.coalesce(c, F.lit(0.0)) for c in x.values()])
     spread = train.groupBy("seed").agg(
-        *[F.avg(F.col(f).cast("double")).alias(f"_m_{f}") for f in features],
-        *[F.stddev_pop(F.col(f).cast("double")).alias(f"_s_{f}") for f in features],
+        F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in x.values()]).alias("_mean"),
+        F.array(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in x.values()]).alias("_sd"),
     )
     spread = settle(spread, groups)
-    rows = join_small(even_copies(train, groups), class_sizes(train, groups), ["seed", "y"], rows=groups)
+    sizes = class_sizes(train, groups)
+    rows = join_small(even_copies(train, groups), sizes, ["seed", "y"], rows=groups)
     rows = join_small(rows.filter(F.col("n") < F.col("n_max")), spread, ["seed"], rows=groups)
-
-    def z(f: str):
-        x = (F.col(f).cast("double") - F.col(f"_m_{f}")) / F.nullif(F.col(f"_s_{f}"), F.lit(0.0))
-        return F.coalesce(x, F.lit(0.0))
+    centred = F.zip_with("_vec", "_mean", lambda a, m: a - m)
+    scaled = F.zip_with(centred, F.col("_sd"), lambda a, sd: F.when(sd > 0, a / sd).otherwise(0.0))
 
     def projection(name: int):
-        signs = _signs(name, len(features))
-        return sum((z(f) * s for f, s in zip(features, signs)), F.lit(0.0))
+        signs = F.array(*[F.lit(sign) for sign in _signs(name, len(features))])
+        parts = F.zip_with("_z", signs, lambda a, sign: a * sign)
+        return F.aggregate(parts, F.lit(0.0), lambda acc, part: acc + part)
 
     wanted = F.greatest(
         F.lit(0), F.least(F.lit(bits), F.ceil(F.log2(F.col("n").cast("double") / F.lit(float(block)))))
     ).cast("int")
     pattern = F.concat(*[F.when(projection(b + 1) > 0, "1").otherwise("0") for b in range(bits)])
     rows = (
-        rows.withColumn("_proj", projection(0))
-        .withColumn("_cell", pattern.substr(F.lit(1), wanted))
-        .withColumn("_vec", vec)
-        .drop(*[c for c in spread.columns if c != "seed"], "n", "n_max")
+        rows.withColumn("_vec", zeros)
+        .withColumn("_z", scaled)
+        .withColumn("_proj", projection(0))
+        .withColumn("_cell", F.when(wanted > 0, pattern.substr(F.lit(1), wanted)).otherwise(""))
+        .drop("_mean", "_sd", "_z", "n", "n_max")
     )
     cells = rows.groupBy("seed", "y", "_cell").agg(F.count("*").alias("_c"))
     parts = F.ceil(F.col("_c") / F.lit(float(block)))

@@ -47,15 +47,19 @@ def fit_gnb(
     Columns: `n0, n1`, and per feature `m0_, v0_, m1_, v1_`. Variances are floored at
     1e-9 of the largest feature variance of the group (1e-9 when all are constant).
     """
-    aggs = [F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")]
-    for f in features:
-        x = F.col(f).cast("double")
-        for c in (0, 1):
-            part = F.when(F.col("y") == c, x)
-            aggs += [F.avg(part).alias(f"m{c}_{f}"), F.var_pop(part).alias(f"v{c}_{f}")]
-        aggs.append(F.var_pop(x).alias(f"vt_{f}"))
-    wide = train_set.groupBy(*by).agg(*aggs)
-    tops = [F.coalesce(F.col(f"vt_{f}"), F.lit(0.0)) for f in features]
+    x = {f: F.col(f).cast("double") for f in features}
+    aggs = [F.count("*").alias("_rows")]
+    for f, c in x.items():
+        aggs += [F.count(c).alias(f"n_{f}"), F.avg(c).alias(f"m_{f}"), F.var_pop(c).alias(f"v_{f}")]
+    classes = train_set.groupBy(*by, "y").agg(*aggs)
+    pivot = []
+    for c in (0, 1):
+        mine = F.col("y") == c
+        pivot.append(F.coalesce(F.max(F.when(mine, F.col("_rows"))), F.lit(0)).alias(f"n{c}"))
+        for f in features:
+            pivot += [F.max(F.when(mine, F.col(f"{s}_{f}"))).alias(f"{s}{c}_{f}") for s in "nmv"]
+    wide = classes.groupBy(*by).agg(*pivot)
+    tops = [_total_variance(f) for f in features]
     top = F.greatest(*tops) if len(tops) > 1 else tops[0]
     wide = wide.withColumn("_floor", F.when(top > 0, top * 1e-9).otherwise(F.lit(1e-9)))
     cols = [*by, "n0", "n1"]
@@ -69,6 +73,16 @@ def fit_gnb(
     return settle(wide.select(*cols), groups)
 
 
+def _total_variance(f: str):
+    """Variance of a feature over both classes from the class moments."""
+    n0, n1 = (F.coalesce(F.col(f"n{c}_{f}"), F.lit(0)).cast("double") for c in (0, 1))
+    m0, m1 = (F.coalesce(F.col(f"m{c}_{f}"), F.lit(0.0)) for c in (0, 1))
+    v0, v1 = (F.coalesce(F.col(f"v{c}_{f}"), F.lit(0.0)) for c in (0, 1))
+    n = n0 + n1
+    between = F.try_divide(n0 * n1 * (m1 - m0) * (m1 - m0), n * n)
+    return F.coalesce(F.try_divide(n0 * v0 + n1 * v1, n) + between, F.lit(0.0))
+
+
 def gnb_params_long(params: DataFrame, features: Sequence[str]) -> DataFrame:
     """The same parameters as `(seed, strategy, transform, feature, stat, value)`."""
     items = [(f, s) for f in features for s in ("m0", "v0", "m1", "v1")]

@@ -9,6 +9,7 @@ shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,75 @@ def quotas(counts: DataFrame, by: list[str], per_mille: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class HoldoutPlan:
+    """A settled split: quotas per stratum, and per (seed, stratum) the last test key.
+
+    That is seeds x strata rows whatever the cohort's size, and enough to put any row on
+    its side without looking at the others again.
+    """
+
+    seeds: tuple[int, ...]
+    strata: tuple[str, ...]
+    entity: str | None
+    salt: str
+    quota: DataFrame
+    thresholds: DataFrame
+    groups: int | None
+    units: DataFrame | None
+
+    def apply(self, cohort: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """`(seed, id, y, split, keep...)`, without a shuffle unless entities are kept whole."""
+        carried = [c for c in dict.fromkeys([*([self.entity] if self.entity else []), *keep]) if c not in ("id", "y")]
+        base = cohort.select(*dict.fromkeys(["id", "y", *self.strata, *carried]))
+        if self.units is None:
+            rows = base.withColumn("stratum", _stratum(self.strata))
+        else:
+            rows = lookup(base, self.units, self.entity, "_n")
+        unit_id = F.col(self.entity or "id")
+        sided = join_small(
+            each_seed(rows, self.seeds), self.thresholds, ["seed", "stratum"], "left", rows=self.groups
+        )
+        in_test = within_threshold(draw_key(F.col("seed"), self.salt, unit_id), unit_id)
+        return sided.select(
+            "seed", "id", "y", F.when(in_test, "test").otherwise("train").alias("split"), *carried
+        )
+
+    def train_sizes(self) -> DataFrame | None:
+        """Training rows per (seed, y) as the quotas fix them; None when strata are not y."""
+        if self.entity or self.strata != ("y",):
+            return None
+        left = self.quota.select(F.col("stratum").cast("int").alias("y"), (F.col("n") - F.col("k")).alias("n"))
+        return each_seed(left.filter("n > 0"), self.seeds)
+
+
+def plan_holdout(
+    cohort: DataFrame,
+    seeds: Sequence[int],
+    frac: float = 0.2,
+    strata: Sequence[str] = ("y",),
+    entity: str | None = None,
+    salt: str = "split",
+) -> HoldoutPlan:
+    """Read ids and strata of the cohort and settle the split."""
+    units = None
+    if entity is None:
+        unit = cohort.select(F.col("id").alias("_unit"), _stratum(strata).alias("stratum"))
+    else:
+        units = (
+            cohort.groupBy(entity)
+            .agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"))
+            .select(entity, (2 * F.col("_pos") > F.col("_n")).cast("int").cast("string").alias("stratum"), "_n")
+        )
+        unit = units.select(F.col(entity).alias("_unit"), "stratum")
+    groups = 2 * len(seeds) if entity or tuple(strata) == ("y",) else None
+    counts = unit.groupBy("stratum").agg(F.count("*").alias("n"))
+    quota = settle(quotas(counts, [], round(frac * 1000)), groups)
+    keyed = each_seed(unit, seeds).withColumn("key", draw_key(F.col("seed"), salt, F.col("_unit")))
+    thresholds = kth_key(keyed, ["seed", "stratum"], each_seed(quota, seeds), tie="_unit", groups=groups)
+    return HoldoutPlan(tuple(seeds), tuple(strata), entity, salt, quota, thresholds, groups, units)
+
+
 def holdout(
     cohort: DataFrame,
     seeds: Sequence[int],
@@ -60,39 +130,7 @@ def holdout(
     Returns `(seed, id, y, split, keep...)`. With `entity` all rows of one entity land
     on one side and the stratum is the entity's majority class.
     """
-    per_mille = round(frac * 1000)
-    cols = list(dict.fromkeys(["id", "y", *strata, *([entity] if entity else []), *keep]))
-    base = cohort.select(*cols)
-    if entity is None:
-        unit, unit_id = base.withColumn("stratum", _stratum(strata)), "id"
-        rows = unit
-    else:
-        unit_id = entity
-        unit = (
-            base.groupBy(entity)
-            .agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"))
-            .select(
-                entity,
-                (2 * F.col("_pos") > F.col("_n")).cast("int").cast("string").alias("stratum"),
-                "_n",
-            )
-        )
-        rows = lookup(base, unit, entity, "_n")
-    groups = 2 * len(seeds) if entity or tuple(strata) == ("y",) else None
-    quota = quotas(unit.groupBy("stratum").agg(F.count("*").alias("n")), [], per_mille)
-    quota = settle(quota, groups)
-    keyed = each_seed(unit.select("stratum", F.col(unit_id).alias("_unit")), seeds).withColumn(
-        "key", draw_key(F.col("seed"), salt, F.col("_unit"))
-    )
-    thr = kth_key(
-        keyed, ["seed", "stratum"], each_seed(quota, seeds), tie="_unit", groups=groups
-    )
-    sided = join_small(each_seed(rows, seeds), thr, ["seed", "stratum"], "left", rows=groups)
-    in_test = within_threshold(draw_key(F.col("seed"), salt, F.col(unit_id)), F.col(unit_id))
-    extra = [c for c in cols if c not in ("id", "y") and (c in keep or c == entity)]
-    return sided.select(
-        "seed", "id", "y", F.when(in_test, "test").otherwise("train").alias("split"), *extra
-    )
+    return plan_holdout(cohort, seeds, frac, strata, entity, salt).apply(cohort, keep)
 
 
 def inner_holdout(

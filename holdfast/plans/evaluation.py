@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.operators.balance import unbalanced_and_even
 from holdfast.operators.metrics import evaluate
 from holdfast.operators.model import fit_gnb, score_gnb
-from holdfast.operators.split import holdout
+from holdfast.operators.split import plan_holdout
 from holdfast.operators.stability import summarize
 
 SEEDS = tuple(range(1, 11))
@@ -33,9 +33,9 @@ def gnb_predictions(
     entity: str | None = None,
 ) -> DataFrame:
     """Split, balance the training side, fit and score the test side, for all seeds."""
-    sided = holdout(cohort, seeds, keep=[*features, *keep], entity=entity)
-    train, test = sides(sided)
-    train_set = unbalanced_and_even(train, groups=2 * len(seeds))
+    plan = plan_holdout(cohort, seeds, entity=entity)
+    train, test = sides(plan.apply(cohort, [*features, *keep]))
+    train_set = unbalanced_and_even(train, 2 * len(seeds), plan.train_sizes())
     params = fit_gnb(train_set, features, groups=2 * len(seeds))
     return score_gnb(test, params, features, experiment, groups=2 * len(seeds), keep=keep)
 

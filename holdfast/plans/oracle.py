@@ -229,7 +229,9 @@ def sql(final: str, **more: str) -> str:
     need(final)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" + final
+    head = "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order)
+    own = final.strip()
+    return f"{head},\n{own[5:]}" if own.upper().startswith("WITH ") else f"{head}\n{own}"
 
 
 def _mentions(text: str, name: str) -> bool:

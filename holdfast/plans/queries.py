@@ -61,12 +61,20 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
 # --- shared inputs -----------------------------------------------------------------
 
 
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.store(docs_cohort(spark, sf), "docs")
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.store(orders_cohort(spark, sf), "orders")
+
+
 def docs_splits(spark: SparkSession, sf: str, keep=()) -> DataFrame:
-    return S.holdout(docs_cohort(spark, sf), SEEDS, keep=keep)
+    return S.holdout(docs(spark, sf), SEEDS, keep=keep)
 
 
 def ord_splits(spark: SparkSession, sf: str, keep=()) -> DataFrame:
-    return S.holdout(orders_cohort(spark, sf), SEEDS, keep=keep)
+    return S.holdout(orders(spark, sf), SEEDS, keep=keep)
 
 
 def docs_train(spark: SparkSession, sf: str, keep=()) -> DataFrame:
@@ -78,11 +86,11 @@ def ord_train(spark: SparkSession, sf: str, keep=()) -> DataFrame:
 
 
 def docs_pred(spark: SparkSession, sf: str, keep=()) -> DataFrame:
-    return gnb_predictions(docs_cohort(spark, sf), DOC_FEATURES, "docs", keep=keep)
+    return gnb_predictions(docs(spark, sf), DOC_FEATURES, "docs", keep=keep)
 
 
 def ord_pred(spark: SparkSession, sf: str, keep=()) -> DataFrame:
-    return gnb_predictions(orders_cohort(spark, sf), ORDER_FEATURES, "orders", keep=keep)
+    return gnb_predictions(orders(spark, sf), ORDER_FEATURES, "orders", keep=keep)
 
 
 def docs_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +189,7 @@ def _(spark, sf):
 @query("save_model")
 def _(spark, sf):
     path = new_path(spark, "store")
-    train, test = sides(S.holdout(docs_cohort(spark, sf), SEEDS[:1], keep=DOC_FEATURES))
+    train, test = sides(S.holdout(docs(spark, sf), SEEDS[:1], keep=DOC_FEATURES))
     for kind in ("logistic", "forest"):
         model = M.fit_ml(kind, train, SEEDS[0], DOC_FEATURES)
         meta = {
@@ -337,14 +345,14 @@ APPROVAL_SQL = """SELECT source AS dataset, 10 * sum(toxic) < 2 * count(*) AS ap
 
 @query("release_view", f"SELECT doc_id, lang, n_chars FROM documents WHERE source IN (SELECT dataset FROM ({APPROVAL_SQL}) a WHERE approved)")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").withColumnRenamed("source", "dataset")
+    texts = table(spark, sf, "documents").withColumnRenamed("source", "dataset")
     labels = table(spark, sf, "labels")
     approvals = (
-        labels.join(docs.select("doc_id", "dataset"), "doc_id")
+        labels.join(texts.select("doc_id", "dataset"), "doc_id")
         .groupBy("dataset")
         .agg((10 * F.sum("toxic") < 2 * F.count("*")).alias("approved"))
     )
-    return P.release_view(docs, approvals, ["doc_id", "lang", "n_chars"])
+    return P.release_view(texts, approvals, ["doc_id", "lang", "n_chars"])
 
 
 def pii_sql() -> str:
@@ -402,7 +410,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return S.holdout(docs_cohort(spark, sf), SEEDS, strata=("y", "lang"))
+    return S.holdout(docs(spark, sf), SEEDS, strata=("y", "lang"))
 
 
 def entity_sql(cohort: str, final: str) -> str:
@@ -420,7 +428,7 @@ def entity_sql(cohort: str, final: str) -> str:
 
 @query("holdout_entity", entity_sql("orders_c", "SELECT e.seed, c.id, c.y, e.split, c.entity_id FROM orders_c c JOIN ent_side e ON e.entity_id = c.entity_id"))
 def _(spark, sf):
-    return S.holdout(orders_cohort(spark, sf), SEEDS, entity="entity_id")
+    return S.holdout(orders(spark, sf), SEEDS, entity="entity_id")
 
 
 REPORT_SQL = f"""
@@ -506,21 +514,26 @@ IMPUTE = {
 }
 
 
+# Averages of cents end in exact halves at fewer places, which engines round apart.
+IMPUTE_PLACES = {"mean": 4, "median": 4, "mode": 4}
+# A most frequent value makes sense for values that repeat.
+MODE_FEATURES = ["price", "month", "quantity"]
+
+
 def impute_sql(how: str) -> str:
     src = f"({ORD_LONG})"
     if how == "mode":
-        src = f"(SELECT seed, feature, value, count(*) AS n FROM ({ORD_LONG}) m WHERE value IS NOT NULL GROUP BY ALL)"
+        src = f"(SELECT seed, feature, value, count(*) AS n FROM ({melt_sql('ord_splits', MODE_FEATURES)}) m WHERE value IS NOT NULL GROUP BY ALL)"
     return f"SELECT seed, 'impute' AS transform, feature, 'fill' AS stat, {IMPUTE[how]} AS value FROM {src} l GROUP BY seed, feature"
 
 
 for how_ in IMPUTE:
 
-    @query(f"impute_{how_}", sql(f"SELECT seed, transform, feature, stat, {r('value', 3)} FROM ({impute_sql(how_)}) t"))
+    @query(f"impute_{how_}", sql(f"SELECT seed, transform, feature, stat, {r('value', IMPUTE_PLACES[how_])} FROM ({impute_sql(how_)}) t"))
     def _(spark, sf, how=how_):
-        train = ord_train(spark, sf, ORDER_FEATURES)
-        if how == "mode":
-            train = train.withColumns({f: F.round(f, 6) for f in ("extended", "discount")})
-        return rounded(D.fit_impute(train, ORDER_FEATURES, how, groups=len(SEEDS)), "value", places=3)
+        features = MODE_FEATURES if how == "mode" else ORDER_FEATURES
+        train = ord_train(spark, sf, features)
+        return rounded(D.fit_impute(train, features, how, groups=len(SEEDS)), "value", places=IMPUTE_PLACES[how])
 
 
 SCALE = {
@@ -528,6 +541,7 @@ SCALE = {
     "minmax": ("min(value)", "max(value) - min(value)"),
     "robust": ("quantile_cont(value, 0.5)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"),
 }
+SCALE_PLACES = {"z": 4, "minmax": 4, "robust": 4}
 
 
 def scale_sql(how: str) -> str:
@@ -538,9 +552,10 @@ def scale_sql(how: str) -> str:
 
 for how_ in SCALE:
 
-    @query(f"scale_{how_}", sql(f"SELECT seed, transform, feature, stat, {r('value', 3)} FROM ({scale_sql(how_)}) t"))
+    @query(f"scale_{how_}", sql(f"SELECT seed, transform, feature, stat, {r('value', SCALE_PLACES[how_])} FROM ({scale_sql(how_)}) t"))
     def _(spark, sf, how=how_):
-        return rounded(D.fit_scale(ord_train(spark, sf, ORDER_FEATURES), ORDER_FEATURES, how, groups=len(SEEDS)), "value", places=3)
+        out = D.fit_scale(ord_train(spark, sf, ORDER_FEATURES), ORDER_FEATURES, how, groups=len(SEEDS))
+        return rounded(out, "value", places=SCALE_PLACES[how])
 
 
 CATS = ["segment", "region", "priority"]
@@ -1111,8 +1126,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    cohort = docs.select(F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("y"), "text")
+    text = table(spark, sf, "documents")
+    cohort = text.select(F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("y"), "text")
     return A.audit_copies(S.holdout(cohort, SEEDS), cohort, ["text"])
 
 
@@ -1122,7 +1137,7 @@ NEAR_SQL = """SELECT s.seed, s.split, md5(concat_ws('|', floor(c.n_chars / 40)::
 
 @query("audit_near", sql(BOTH_SQL.format(c="content", src=NEAR_SQL)))
 def _(spark, sf):
-    cohort = docs_cohort(spark, sf)
+    cohort = docs(spark, sf)
     return A.audit_near(S.holdout(cohort, SEEDS), cohort, {"n_chars": 40, "word_len": 0.5}, exact=["lang"])
 
 
@@ -1232,8 +1247,8 @@ LOG_CASE = "CASE event_type WHEN 'signup' THEN 'split' WHEN 'view' THEN 'freeze'
 
 @query(
     "audit_order",
-    f"""WITH log AS (SELECT 'user' || user_id AS experiment, day(ts)::INT AS seed, {LOG_CASE} AS step, event_id AS step_no, ts AS at FROM events),
-             s AS (SELECT experiment, seed, step, min(row(at, step_no)) AS f, max(row(at, step_no)) AS l,
+    f"""WITH log AS (SELECT 'user' || user_id AS experiment, day(ts)::INT AS seed, {LOG_CASE} AS step, event_id AS step_no, ts FROM events),
+             s AS (SELECT experiment, seed, step, min(row(ts, step_no)) AS f, max(row(ts, step_no)) AS l,
                      list_position(['split', 'freeze', 'balance', 'fit', 'predict', 'evaluate'], step) AS place FROM log GROUP BY ALL),
              b AS (SELECT s.experiment, s.seed, s.step, s.f, coalesce(s.place, 0) AS place,
                      (SELECT max(p.l) FROM s p WHERE p.experiment = s.experiment AND p.seed = s.seed AND p.place < s.place) AS prev FROM s),
@@ -1290,7 +1305,7 @@ WRONG = dict(
     ),
 )
 def _(spark, sf):
-    cohort = docs_cohort(spark, sf)
+    cohort = docs(spark, sf)
     right = docs_metrics(spark, sf).filter(F.col("strategy") == "oversampled")
     train, test = sides(A.leaky_sides(cohort, SEEDS, DOC_FEATURES))
     params = M.fit_gnb(train.withColumn("strategy", F.lit("oversampled")), DOC_FEATURES, groups=len(SEEDS))
@@ -1312,7 +1327,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     good = docs_splits(spark, sf)
-    cohort = docs_cohort(spark, sf)
+    cohort = docs(spark, sf)
     checks = {
         "overlap": A.audit_overlap(leaky_splits(spark, sf)),
         "entity": A.audit_entity(good, cohort),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.session import new_path
+
 # The result families and the manifest columns.
 FAMILIES = ("primary", "repeated_holdout", "baselines", "fairness", "statistics")
 MANIFEST = T.StructType(
@@ -23,6 +25,25 @@ MANIFEST = T.StructType(
 )
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a derived table to the shared folder once and read it from there.
+
+    A cohort is read several times (quotas, thresholds, fit, score), so its joins and
+    text functions should run once. A table that came out in fewer files than there are
+    cores was written by few tasks; it is small and is written again, spread evenly.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if len(back.inputFiles()) >= cores:
+        return back
+    path = new_path(spark, name)
+    back.repartition(cores).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Predictions by experiment, strategy and seed, clustered so files stay few."""
     parts = ["experiment", "strategy", "seed"]
