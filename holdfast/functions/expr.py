@@ -84,4 +84,4 @@ def erf(x: Column) -> Column:
 
 def normal_p(z: Column) -> Column:
     """Two-sided p-value of a standard normal."""
-    return F.lit(1.0) - erf(F.abs(z) / F.lit(math.sqrt(2.0)))
+    return F.when(z.isNotNull(), F.lit(1.0) - erf(F.abs(z) / F.lit(math.sqrt(2.0))))

@@ -78,8 +78,8 @@ def even_copies(train: DataFrame, groups: int | None = None, sizes: DataFrame |
     """
     sizes = class_sizes(train, groups) if sizes is None else _with_largest(sizes)
     sizes = sizes.withColumn("k", F.col("n_max") % F.col("n"))
-    keyed = train.withColumn("key", draw_key(F.col("seed"), "os", F.col("id")))
-    thr = kth_key(keyed, ["seed", "y"], sizes, groups=groups)
+    key = draw_key(F.col("seed"), "os", F.col("id"))
+    thr = kth_key(train.select("seed", "y", "id"), ["seed", "y"], sizes, key, groups=groups)
     params = join_small(
         sizes.select("seed", "y", F.expr("n_max div n").alias("_base")),
         thr,
@@ -87,11 +87,11 @@ def even_copies(train: DataFrame, groups: int | None = None, sizes: DataFrame |
         "left",
         rows=groups,
     )
-    first = within_threshold(F.col("key"), F.col("id"))
+    first = within_threshold(key, F.col("id"))
     return (
-        join_small(keyed, params, ["seed", "y"], rows=groups)
+        join_small(train, params, ["seed", "y"], rows=groups)
         .withColumn("copies", (F.col("_base") + first.cast("int")).cast("int"))
-        .drop("key", "_base", "thr_key", "thr_tie")
+        .drop("_base", "thr_key", "thr_tie")
     )
 
 

@@ -8,6 +8,7 @@ histogram of about sqrt(n) entries and sort only the one bucket that matters.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,29 +89,83 @@ def hex_digits(n: Column) -> Column:
     ).cast("int")
 
 
+def _hex_at(share: Column) -> Column:
+    """The 12-digit hex prefix at a share of the digest space; beyond all of it at 1."""
+    digits = F.lpad(F.lower(F.hex(F.floor(share * F.lit(float(16**12))).cast("bigint"))), 12, "0")
+    return F.when(share <= 0, "").when(share >= 1, "g").otherwise(digits)
+
+
+def _size(df: DataFrame, groups: int | None) -> int:
+    return df.count() if groups is None or groups > BROADCAST_ROWS else len(df.collect())
+
+
 def kth_key(
     rows: DataFrame,
     group: list[str],
     quota: DataFrame,
-    key: str = "key",
+    key: Column,
     tie: str = "id",
     groups: int | None = None,
 ) -> DataFrame:
-    """Per group the k-th smallest (key, tie): `(group..., thr_key, thr_tie)`.
+    """Per group the k-th smallest (key, tie): `(group..., thr_key, thr_tie)`, settled.
+
+    `key` is a hex digest computed from columns of `rows`; `quota` holds group, its row
+    count `n` and the wanted `k`. Groups with k = 0 give no row.
 
-    `rows` holds group, a uniform hex digest `key` and the tie-break `tie`; `quota`
-    holds group, its row count `n` and the wanted `k`. Two passes over `rows`: counts
-    by digest prefix, then the rows of the one bucket in which the k-th row lies.
-    Groups with k = 0 give no row. The result is settled: one row per group.
+    Digests are uniform, so the k-th of n lies near the share k/n of the digest space.
+    One pass counts the rows below a bracket of six standard deviations (map-side) and
+    keeps the about 12 sqrt(n) rows inside it. Should the rank fall outside for any
+    group, which repeated keys can cause, a digest-prefix histogram finds it for all.
     """
-    want = quota.filter(F.col("k") > 0).select(
-        *group,
-        F.least("k", "n").cast("bigint").alias("_k"),
-        hex_digits(F.col("n")).alias("_digits"),
+    n, k = F.col("n").cast("double"), F.least("k", "n").cast("double")
+    margin = (6 * F.sqrt(k * (1 - k / n)) + 24) / n
+    want = settle(
+        quota.filter(F.col("k") > 0).select(
+            *group,
+            F.least("k", "n").cast("bigint").alias("_k"),
+            _hex_at(k / n - margin).alias("_lo"),
+            _hex_at(k / n + margin).alias("_hi"),
+            hex_digits(F.col("n")).alias("_digits"),
+        ),
+        groups,
+    )
+    thr = settle(_bracketed(rows, group, want, key, tie, groups), groups)
+    if _size(thr, groups) < _size(want, groups):
+        thr = settle(_by_histogram(rows, group, want, key, tie, groups), groups)
+    return thr
+
+
+def _bracketed(rows, group, want, key, tie, groups) -> DataFrame:
+    inside = F.col("_key") >= F.col("_lo")
+    kept = (
+        join_small(rows, want.drop("_digits"), group, rows=groups)
+        .withColumn("_key", key)
+        .filter(F.col("_key") <= F.col("_hi"))
+        .groupBy(
+            *group,
+            "_k",
+            F.when(inside, F.col("_key")).otherwise("").alias("_key"),
+            F.when(inside, F.col(tie)).alias("_tie"),
+        )
+        .agg(F.count("*").alias("_cnt"))
+    )
+    running = F.sum("_cnt").over(
+        W.partitionBy(*group).orderBy("_key", "_tie").rowsBetween(W.unboundedPreceding, 0)
     )
-    prefix = F.col(key).substr(F.lit(1), F.col("_digits"))
+    return (
+        kept.withColumn("_cum", running)
+        .filter((F.col("_cum") - F.col("_cnt") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
+        .filter(F.col("_key") != "")
+        .select(*group, F.col("_key").alias("thr_key"), F.col("_tie").alias("thr_tie"))
+    )
+
+
+def _by_histogram(rows, group, want, key, tie, groups) -> DataFrame:
+    """Two passes, exact for any keys: counts by prefix, then the one bucket that matters."""
+    prefix = F.col("_key").substr(F.lit(1), F.col("_digits"))
     hist = (
-        join_small(rows.select(*group, key), want, group, rows=groups)
+        join_small(rows, want.select(*group, "_k", "_digits"), group, rows=groups)
+        .withColumn("_key", key)
         .groupBy(*group, "_k", "_digits", prefix.alias("_bucket"))
         .agg(F.count("*").alias("_cnt"))
     )
@@ -127,22 +182,24 @@ def kth_key(
             (F.col("_k") - F.col("_cum") + F.col("_cnt")).alias("_need"),
         )
     )
-    place = F.row_number().over(W.partitionBy(*group).orderBy(key, tie))
-    thr = (
-        join_small(rows.select(*group, key, tie), edge, group, rows=groups)
+    place = F.row_number().over(W.partitionBy(*group).orderBy("_key", tie))
+    return (
+        join_small(rows, edge, group, rows=groups)
+        .withColumn("_key", key)
         .filter(prefix == F.col("_bucket"))
         .withColumn("_place", place)
         .filter(F.col("_place") == F.col("_need"))
-        .select(*group, F.col(key).alias("thr_key"), F.col(tie).alias("thr_tie"))
+        .select(*group, F.col("_key").alias("thr_key"), F.col(tie).alias("thr_tie"))
     )
-    return settle(thr, groups)
 
 
 def within_threshold(key: Column, tie: Column) -> Column:
-    """True for rows up to the threshold row; false where the group has none."""
-    return F.coalesce(
-        (key < F.col("thr_key")) | ((key == F.col("thr_key")) & (tie <= F.col("thr_tie"))),
-        F.lit(False),
+    """True for rows up to the threshold row; false where the group has none.
+
+    A key given as an expression is computed only for groups with a threshold.
+    """
+    return F.when(F.col("thr_key").isNull(), F.lit(False)).otherwise(
+        (key < F.col("thr_key")) | ((key == F.col("thr_key")) & (tie <= F.col("thr_tie")))
     )
 
 
@@ -155,7 +212,7 @@ def take_k(
     groups: int | None = None,
 ) -> DataFrame:
     """Exactly k rows per group, the smallest by (key, tie), in a map-side last pass."""
-    thr = kth_key(df, group, quota, key, tie, groups)
+    thr = kth_key(df, group, quota, F.col(key), tie, groups)
     return (
         join_small(df, thr, group, "inner", rows=groups)
         .filter(within_threshold(F.col(key), F.col(tie)))
@@ -185,60 +242,96 @@ def prefix_sum(
     return out.drop(*[f"_o_{v}" for v in vals])
 
 
-def exact_percentile(
-    df: DataFrame, by: list[str], value: str, p: float, groups: int | None = None
+def exact_percentiles(
+    df: DataFrame, by: list[str], features: Sequence[str], ps: Sequence[float], groups: int | None = None
 ) -> DataFrame:
-    """Exact linear-interpolated percentile per group: `(by..., value)`.
+    """Exact linear-interpolated percentiles: `(by..., feature, p, value)`.
 
-    A quantile sketch brackets the wanted rank; exact counts below, inside and above
-    the bracket say which zone really holds it, and only that zone is counted by
-    distinct value and ordered. The sketch affects speed, never the result.
+    A quantile sketch brackets each wanted rank; exact counts below, inside and above
+    the bracket say which zone really holds it, and only rows of that zone are taken out
+    of the wide table, counted by distinct value and ordered. The sketch affects speed,
+    never the result.
     """
     eps = 2e-4
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    bracket = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", max(0.0, p - eps), 10000).alias("_lo"),
-        F.percentile_approx("_v", min(1.0, p + eps), 10000).alias("_hi"),
+    cells = [(f, i) for f in features for i in range(len(ps))]
+    rows = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features])
+    marks = [x for p in ps for x in (max(0.0, p - eps), min(1.0, p + eps))]
+    sketch = rows.groupBy(*by).agg(
+        *[F.percentile_approx(f, F.array(*[F.lit(m) for m in marks]), 10000).alias(f"_b_{f}") for f in features]
     )
-    zone = (
-        F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
+    ends = {(f, i): (f"_lo_{f}_{i}", f"_hi_{f}_{i}") for f, i in cells}
+    brackets = sketch.select(
+        *by,
+        *[F.get(f"_b_{f}", F.lit(2 * i + e)).alias(ends[f, i][e]) for f, i in cells for e in (0, 1)],
     )
-    counts = (
-        join_small(rows, bracket, by, rows=groups)
-        .groupBy(*by, "_lo", "_hi")
+    brackets = settle(brackets, groups)
+    counted = (
+        join_small(rows, brackets, by, rows=groups)
+        .groupBy(*by, *[c for pair in ends.values() for c in pair])
         .agg(
-            F.count("*").alias("_n"),
-            F.count_if(zone == 0).alias("_below"),
-            F.count_if(zone <= 1).alias("_upto"),
+            *[F.count(f).alias(f"_n_{f}") for f in features],
+            *[F.count_if(F.col(f) < F.col(ends[f, i][0])).alias(f"_below_{f}_{i}") for f, i in cells],
+            *[F.count_if(F.col(f) <= F.col(ends[f, i][1])).alias(f"_upto_{f}_{i}") for f, i in cells],
         )
-        .withColumn("_pos", (F.col("_n") - 1) * F.lit(float(p)))
-        .withColumn("_r0", F.floor("_pos"))
-        .withColumn("_r1", F.ceil("_pos"))
     )
+    zones = {}
+    for f, i in cells:
+        below, upto = F.col(f"_below_{f}_{i}"), F.col(f"_upto_{f}_{i}")
+        pos = (F.col(f"_n_{f}") - 1) * F.lit(float(ps[i]))
+        first, last = F.floor(pos), F.ceil(pos)
+
+        def zone(rank: Column) -> Column:
+            return F.when(rank < below, 0).when(rank < upto, 1).otherwise(2)
+
+        base = F.when(zone(first) == 0, F.lit(0)).when(zone(first) == 1, below).otherwise(upto)
+        zones[f"_z_{f}_{i}"] = F.struct(
+            F.col(ends[f, i][0]).alias("lo"),
+            F.col(ends[f, i][1]).alias("hi"),
+            zone(first).alias("z0"),
+            zone(last).alias("z1"),
+            pos.alias("pos"),
+            first.alias("r0"),
+            last.alias("r1"),
+            base.alias("base"),
+        )
+    plan = settle(counted.select(*by, *[z.alias(name) for name, z in zones.items()]), groups)
+
+    def candidate(f: str, i: int) -> Column:
+        z, v = F.col(f"_z_{f}_{i}"), F.col(f)
+        side = F.when(v < z["lo"], 0).when(v <= z["hi"], 1).otherwise(2)
+        hit = v.isNotNull() & side.between(z["z0"], z["z1"])
+        return F.when(
+            hit,
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.lit(float(ps[i])).alias("p"),
+                v.alias("v"),
+                z["pos"].alias("pos"),
+                z["r0"].alias("r0"),
+                z["r1"].alias("r1"),
+                z["base"].alias("base"),
+            ),
+        )
 
-    def zone_of(rank: str) -> Column:
-        return F.when(F.col(rank) < F.col("_below"), 0).when(F.col(rank) < F.col("_upto"), 1).otherwise(2)
-
-    plan = counts.withColumn("_z0", zone_of("_r0")).withColumn("_z1", zone_of("_r1"))
-    base = F.when(F.col("_z0") == 0, F.lit(0)).when(F.col("_z0") == 1, F.col("_below")).otherwise(F.col("_upto"))
+    hits = F.filter(F.array(*[candidate(f, i) for f, i in cells]), lambda x: x.isNotNull())
+    key = [*by, "feature", "p"]
     picked = (
-        join_small(rows, plan.withColumn("_base", base), by, rows=groups)
-        .filter(zone.between(F.col("_z0"), F.col("_z1")))
-        .groupBy(*by, "_pos", "_r0", "_r1", "_base", "_v")
+        join_small(rows, plan, by, rows=groups)
+        .select(*by, F.explode(hits).alias("_x"))
+        .select(*by, "_x.*")
+        .groupBy(*key, "pos", "r0", "r1", "base", "v")
         .agg(F.count("*").alias("_c"))
         .withColumn(
             "_cum",
-            F.col("_base")
-            + F.sum("_c").over(
-                W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-            ),
+            F.col("base")
+            + F.sum("_c").over(W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
         )
     )
 
     def at(rank: str) -> Column:
         hit = (F.col("_cum") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_cum"))
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when(hit, F.col("v")))
 
-    frac = F.max(F.col("_pos") - F.col("_r0"))
-    lo, hi = at("_r0"), at("_r1")
-    return picked.groupBy(*by).agg((lo + (hi - lo) * frac).alias(value))
+    frac = F.max(F.col("pos") - F.col("r0"))
+    low, high = at("r0"), at("r1")
+    return picked.groupBy(*key).agg((low + (high - low) * frac).alias("value"))

@@ -111,8 +111,8 @@ def plan_holdout(
     groups = 2 * len(seeds) if entity or tuple(strata) == ("y",) else None
     counts = unit.groupBy("stratum").agg(F.count("*").alias("n"))
     quota = settle(quotas(counts, [], round(frac * 1000)), groups)
-    keyed = each_seed(unit, seeds).withColumn("key", draw_key(F.col("seed"), salt, F.col("_unit")))
-    thresholds = kth_key(keyed, ["seed", "stratum"], each_seed(quota, seeds), tie="_unit", groups=groups)
+    key = draw_key(F.col("seed"), salt, F.col("_unit"))
+    thresholds = kth_key(each_seed(unit, seeds), ["seed", "stratum"], each_seed(quota, seeds), key, "_unit", groups)
     return HoldoutPlan(tuple(seeds), tuple(strata), entity, salt, quota, thresholds, groups, units)
 
 
@@ -137,18 +137,15 @@ def inner_holdout(
     splits: DataFrame, frac: float = 0.2, salt: str = "inner", groups: int | None = None
 ) -> DataFrame:
     """Split the training rows once more; `split` becomes `fit` or `valid`."""
-    train = (
-        splits.filter(F.col("split") == "train")
-        .withColumn("stratum", F.col("y").cast("string"))
-        .withColumn("key", draw_key(F.col("seed"), salt, F.col("id")))
-    )
+    train = splits.filter(F.col("split") == "train").withColumn("stratum", F.col("y").cast("string"))
+    key = draw_key(F.col("seed"), salt, F.col("id"))
     counts = train.groupBy("seed", "stratum").agg(F.count("*").alias("n"))
     quota = settle(quotas(counts, ["seed"], round(frac * 1000)), groups)
-    thr = kth_key(train, ["seed", "stratum"], quota, groups=groups)
+    thr = kth_key(train.select("seed", "stratum", "id"), ["seed", "stratum"], quota, key, groups=groups)
     sided = join_small(train, thr, ["seed", "stratum"], "left", rows=groups)
-    in_valid = within_threshold(F.col("key"), F.col("id"))
+    in_valid = within_threshold(key, F.col("id"))
     return sided.withColumn("split", F.when(in_valid, "valid").otherwise("fit")).drop(
-        "stratum", "key", "thr_key", "thr_tie"
+        "stratum", "thr_key", "thr_tie"
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from holdfast.functions.expr import ratio
 from holdfast.operators.metrics import confusion, point_metrics
-from holdfast.operators.primitives import exact_percentile, join_small, settle
+from holdfast.operators.primitives import exact_percentiles, join_small, settle
 
 BY = ["seed"]
 
@@ -44,15 +44,13 @@ def fit_impute(
 ) -> DataFrame:
     """Fill value per feature: mean, median or mode (ties go to the smallest value)."""
     by = list(by)
-    cells = None if groups is None else groups * len(features)
     if how == "mean":
         wide = train.groupBy(*by).agg(*[F.avg(F.col(f).cast("double")).alias(f"fill_{f}") for f in features])
         return _wide_to_long(wide, by, "impute", features, ["fill"])
-    long = melt(train, by, features)
     if how == "median":
-        return _labelled(exact_percentile(long, [*by, "feature"], "value", 0.5, cells), by, "impute", "fill")
+        return _labelled(exact_percentiles(train, by, features, [0.5], groups), by, "impute", "fill")
     if how == "mode":
-        counts = long.filter(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count("*").alias("_n"))
+        counts = melt(train, by, features).filter(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count("*").alias("_n"))
         top = counts.groupBy(*by, "feature").agg(
             F.min_by("value", F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))).alias("value")
         )
@@ -66,18 +64,14 @@ def fit_scale(
     """Centre and scale per feature: z-score, min-max or robust (median, IQR)."""
     by = list(by)
     if how == "robust":
-        cells = None if groups is None else groups * len(features)
-        long = melt(train, by, features)
-        q = {
-            name: exact_percentile(long, [*by, "feature"], "value", p, cells).withColumnRenamed("value", name)
-            for name, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
-        }
-        joined = q["q1"].join(q["q2"], [*by, "feature"]).join(q["q3"], [*by, "feature"])
-        return joined.select(
+        q = exact_percentiles(train, by, features, [0.25, 0.5, 0.75], groups)
+        at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+        wide = q.groupBy(*by, "feature").agg(at(0.5).alias("_c"), (at(0.75) - at(0.25)).alias("_s"))
+        return wide.select(
             *by,
             F.lit("scale").alias("transform"),
             "feature",
-            F.expr("stack(2, 'center', q2, 'scale', q3 - q1) as (stat, value)"),
+            F.expr("stack(2, 'center', _c, 'scale', _s) as (stat, value)"),
         )
     aggs: list[Column] = []
     for f in features:
