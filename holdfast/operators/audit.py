@@ -76,28 +76,32 @@ def _content_on_both_sides(splits: DataFrame, cohort: DataFrame, key: Column) ->
 
 
 def audit_complete(splits: DataFrame, cohort: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """(seed, id) that are missing, repeated or foreign to the cohort.
+    """(seed, id) that are missing, repeated or foreign, or carry a seed not planned.
 
-    Splits are folded to one row per id before they meet the cohort, so the join sees
-    each id once and not once per seed.
+    Splits are folded map-side to one counter per seed and id before they meet the
+    cohort, so the join sees each id once, however often it is repeated.
     """
-    per_id = splits.groupBy("id").agg(F.collect_list("seed").alias("_seeds"))
+    seeds = [int(s) for s in seeds]
+    per_id = splits.groupBy("id").agg(
+        *[F.count_if(F.col("seed") == s).alias(f"_n{i}") for i, s in enumerate(seeds)],
+        F.count_if(~F.coalesce(F.col("seed").isin(*seeds), F.lit(False))).alias("_other"),
+    )
     both = cohort.select("id", F.lit(True).alias("_known")).join(per_id, "id", "full_outer")
-    have = F.coalesce("_seeds", F.array().cast("array<int>"))
-    wanted = F.array(*[F.lit(int(s)) for s in seeds])
     known = F.coalesce("_known", F.lit(False))
 
-    def issues(items: Column, name: str) -> Column:
-        return F.transform(items, lambda s: F.struct(s.alias("seed"), F.lit(name).alias("issue")))
-
-    none = F.array().cast("array<int>")
-    missing = F.when(known, F.array_except(wanted, have)).otherwise(none)
-    foreign = F.when(~known, F.array_distinct(have)).otherwise(none)
-    repeated = F.array_distinct(
-        F.filter(have, lambda s: F.size(F.filter(have, lambda o: o == s)) > 1)
-    )
-    found = F.concat(issues(missing, "missing"), issues(foreign, "foreign"), issues(repeated, "repeated"))
-    return both.select("id", F.explode(found).alias("_x")).select("_x.seed", "id", "_x.issue")
+    def found(cond: Column, seed: int | None, issue: str) -> Column:
+        return F.when(cond, F.struct(F.lit(seed).cast("int").alias("seed"), F.lit(issue).alias("issue")))
+
+    checks = [found(F.coalesce("_other", F.lit(0)) > 0, None, "unplanned seed")]
+    for i, s in enumerate(seeds):
+        n = F.coalesce(F.col(f"_n{i}"), F.lit(0))
+        checks += [
+            found(known & (n == 0), s, "missing"),
+            found(~known & (n > 0), s, "foreign"),
+            found(n > 1, s, "repeated"),
+        ]
+    issues = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return both.select("id", F.explode(issues).alias("_x")).select("_x.seed", "id", "_x.issue")
 
 
 def audit_test(test: DataFrame, cohort: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -107,6 +107,7 @@ def plan_holdout(
             .agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"))
             .select(entity, (2 * F.col("_pos") > F.col("_n")).cast("int").cast("string").alias("stratum"), "_n")
         )
+        units = settle(units)
         unit = units.select(F.col(entity).alias("_unit"), "stratum")
     groups = 2 * len(seeds) if entity or tuple(strata) == ("y",) else None
     counts = unit.groupBy("stratum").agg(F.count("*").alias("n"))

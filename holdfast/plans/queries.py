@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -373,7 +373,8 @@ def profile_sql() -> str:
     for c in num + cat:
         lo = f"min({c})::DOUBLE, max({c})::DOUBLE, avg({c})::DOUBLE" if c in num else "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
         kind = "numeric" if c in num else "categorical"
-        parts.append(f"SELECT '{c}', '{kind}', count(*), (count(*) - count({c}))::DOUBLE / count(*), count(DISTINCT {c}), {lo} FROM orders_c")
+        src = "(SELECT * REPLACE (round(extended, 2) AS extended, round(discount, 6) AS discount) FROM orders_c) o"
+        parts.append(f"SELECT '{c}', '{kind}', count(*), (count(*) - count({c}))::DOUBLE / count(*), count(DISTINCT {c}), {lo} FROM {src}")
     names = "t(variable, kind, n_rows, missing_share, n_distinct, min, max, mean)"
     return sql(f"SELECT variable, kind, n_rows, {r('missing_share')}, n_distinct, {r('min, max, mean', 3)} FROM ({' UNION ALL '.join(parts)}) {names}")
 
@@ -382,7 +383,8 @@ def profile_sql() -> str:
 def _(spark, sf):
     cols = ["y", *ORDER_FEATURES, "segment", "region", "priority"]
     # Summed features are rounded so that distinct counts do not hang on the last bit.
-    return rounded(rounded(P.profile(orders_cohort(spark, sf), cols), "missing_share"), "min", "max", "mean", places=3)
+    cohort = orders_cohort(spark, sf).withColumns({"extended": F.round("extended", 2), "discount": F.round("discount", 6)})
+    return rounded(rounded(P.profile(cohort, cols), "missing_share"), "min", "max", "mean", places=3)
 
 
 # --- C: partitioning ---------------------------------------------------------------

@@ -45,9 +45,13 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Predictions by experiment, strategy and seed, clustered so files stay few."""
+    """Predictions by experiment, strategy and seed.
+
+    The rebalance hint lets adaptive execution split large partitions and join small
+    ones, so file sizes stay even whatever the number of rows per seed.
+    """
     parts = ["experiment", "strategy", "seed"]
-    df.repartition(*parts, F.pmod(F.xxhash64("id"), F.lit(16))).write.mode(mode).partitionBy(*parts).parquet(path)
+    df.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
