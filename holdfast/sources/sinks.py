@@ -29,18 +29,15 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a derived table to the shared folder once and read it from there.
 
     A cohort is read several times (quotas, thresholds, fit, score), so its joins and
-    text functions should run once. A table that came out in fewer files than there are
-    cores was written by few tasks; it is small and is written again, spread evenly.
+    text functions should run once. Where the sources have fewer files than there are
+    cores they are small, and the table is spread evenly so that later reads use all
+    cores; otherwise it is written as it comes, without a shuffle.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     path = new_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    if len(back.inputFiles()) >= cores:
-        return back
-    path = new_path(spark, name)
-    back.repartition(cores).write.parquet(path)
+    spread = df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spread.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
