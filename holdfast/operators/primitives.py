@@ -254,84 +254,64 @@ def exact_percentiles(
     """
     eps = 2e-4
     cells = [(f, i) for f in features for i in range(len(ps))]
+    bound = None if groups is None else groups * len(cells)
     rows = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features])
-    marks = [x for p in ps for x in (max(0.0, p - eps), min(1.0, p + eps))]
+    marks = ", ".join(f"{max(0.0, p - eps)!r}D, {min(1.0, p + eps)!r}D" for p in ps)
     sketch = rows.groupBy(*by).agg(
-        *[F.percentile_approx(f, F.array(*[F.lit(m) for m in marks]), 10000).alias(f"_b_{f}") for f in features]
+        *[F.expr(f"percentile_approx(`{f}`, array({marks}), 10000) as `_b_{f}`") for f in features]
     )
-    ends = {(f, i): (f"_lo_{f}_{i}", f"_hi_{f}_{i}") for f, i in cells}
-    brackets = sketch.select(
+    ends = [f"`_b_{f}`[{2 * i + e}] as `_{n}_{c}`" for c, (f, i) in enumerate(cells) for e, n in ((0, "lo"), (1, "hi"))]
+    brackets = settle(sketch.selectExpr(*by, *ends), groups)
+    counts = [F.expr(f"count(`{f}`) as `_n_{f}`") for f in features]
+    for c, (f, _) in enumerate(cells):
+        counts += [F.expr(f"count_if(`{f}` < _lo_{c}) as _below_{c}"), F.expr(f"count_if(`{f}` <= _hi_{c}) as _upto_{c}")]
+    edges = [f"_{n}_{c}" for c in range(len(cells)) for n in ("lo", "hi")]
+    counted = join_small(rows, brackets, by, rows=groups).groupBy(*by, *edges).agg(*counts)
+    listed = ", ".join(
+        f"{c}, '{f}', {float(ps[i])!r}D, `_n_{f}`, _below_{c}, _upto_{c}, _lo_{c}, _hi_{c}"
+        for c, (f, i) in enumerate(cells)
+    )
+    zone = lambda r: f"CASE WHEN {r} < below THEN 0 WHEN {r} < upto THEN 1 ELSE 2 END"
+    plan = (
+        counted.selectExpr(*by, f"stack({len(cells)}, {listed}) as (cell, feature, p, n, below, upto, lo, hi)")
+        .filter("n > 0")
+        .selectExpr("*", "(n - 1) * p as pos")
+        .selectExpr("*", "floor(pos) as r0", "ceil(pos) as r1")
+        .selectExpr("*", f"{zone('r0')} as z0", f"{zone('r1')} as z1")
+        .selectExpr("*", "CASE z0 WHEN 0 THEN 0L WHEN 1 THEN below ELSE upto END as base")
+    )
+    plan = settle(plan, bound)
+    # Inclusive ends of the zones that hold the two ranks; a value on an end that belongs
+    # to the next zone is dropped again below, where few rows are left.
+    limits = plan.selectExpr(
         *by,
-        *[F.get(f"_b_{f}", F.lit(2 * i + e)).alias(ends[f, i][e]) for f, i in cells for e in (0, 1)],
+        "cell",
+        "CASE z0 WHEN 0 THEN double('-infinity') WHEN 1 THEN lo ELSE hi END as a",
+        "CASE z1 WHEN 0 THEN lo WHEN 1 THEN hi ELSE double('infinity') END as b",
     )
-    brackets = settle(brackets, groups)
-    counted = (
-        join_small(rows, brackets, by, rows=groups)
-        .groupBy(*by, *[c for pair in ends.values() for c in pair])
-        .agg(
-            *[F.count(f).alias(f"_n_{f}") for f in features],
-            *[F.count_if(F.col(f) < F.col(ends[f, i][0])).alias(f"_below_{f}_{i}") for f, i in cells],
-            *[F.count_if(F.col(f) <= F.col(ends[f, i][1])).alias(f"_upto_{f}_{i}") for f, i in cells],
-        )
+    wanted = limits.groupBy(*by).agg(
+        *[F.expr(f"max(CASE WHEN cell = {c} THEN {e} END) as _{e}_{c}") for c in range(len(cells)) for e in "ab"]
     )
-    zones = {}
-    for f, i in cells:
-        below, upto = F.col(f"_below_{f}_{i}"), F.col(f"_upto_{f}_{i}")
-        pos = (F.col(f"_n_{f}") - 1) * F.lit(float(ps[i]))
-        first, last = F.floor(pos), F.ceil(pos)
-
-        def zone(rank: Column) -> Column:
-            return F.when(rank < below, 0).when(rank < upto, 1).otherwise(2)
-
-        base = F.when(zone(first) == 0, F.lit(0)).when(zone(first) == 1, below).otherwise(upto)
-        zones[f"_z_{f}_{i}"] = F.struct(
-            F.col(ends[f, i][0]).alias("lo"),
-            F.col(ends[f, i][1]).alias("hi"),
-            zone(first).alias("z0"),
-            zone(last).alias("z1"),
-            pos.alias("pos"),
-            first.alias("r0"),
-            last.alias("r1"),
-            base.alias("base"),
-        )
-    plan = settle(counted.select(*by, *[z.alias(name) for name, z in zones.items()]), groups)
-
-    def candidate(f: str, i: int) -> Column:
-        z, v = F.col(f"_z_{f}_{i}"), F.col(f)
-        side = F.when(v < z["lo"], 0).when(v <= z["hi"], 1).otherwise(2)
-        hit = v.isNotNull() & side.between(z["z0"], z["z1"])
-        return F.when(
-            hit,
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.lit(float(ps[i])).alias("p"),
-                v.alias("v"),
-                z["pos"].alias("pos"),
-                z["r0"].alias("r0"),
-                z["r1"].alias("r1"),
-                z["base"].alias("base"),
-            ),
-        )
-
-    hits = F.filter(F.array(*[candidate(f, i) for f, i in cells]), lambda x: x.isNotNull())
-    key = [*by, "feature", "p"]
-    picked = (
-        join_small(rows, plan, by, rows=groups)
-        .select(*by, F.explode(hits).alias("_x"))
-        .select(*by, "_x.*")
-        .groupBy(*key, "pos", "r0", "r1", "base", "v")
+    wanted = settle(wanted, groups)
+    inside = [f"`{f}` >= _a_{c} AND `{f}` <= _b_{c}" for c, (f, _) in enumerate(cells)]
+    found = ", ".join(
+        f"CASE WHEN {test} THEN struct({c} as cell, `{f}` as v) END" for c, (test, (f, _)) in enumerate(zip(inside, cells))
+    )
+    values = (
+        join_small(rows, wanted, by, rows=groups)
+        .selectExpr(*by, f"explode(array_compact(array({found}))) as _x")
+        .selectExpr(*by, "_x.cell as cell", "_x.v as v")
+        .groupBy(*by, "cell", "v")
         .agg(F.count("*").alias("_c"))
-        .withColumn(
-            "_cum",
-            F.col("base")
-            + F.sum("_c").over(W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
-        )
     )
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_cum") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_cum"))
-        return F.max(F.when(hit, F.col("v")))
-
+    key = [*by, "feature", "p"]
+    order = W.partitionBy(*by, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = (
+        join_small(values, plan.drop("n", "below", "upto"), [*by, "cell"], rows=bound)
+        .filter("CASE WHEN v < lo THEN 0 WHEN v <= hi THEN 1 ELSE 2 END >= z0")
+        .filter("CASE WHEN v < lo THEN 0 WHEN v <= hi THEN 1 ELSE 2 END <= z1")
+        .withColumn("_cum", F.col("base") + F.sum("_c").over(order))
+    )
+    at = lambda r: F.max(F.when((F.col("_cum") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_cum")), F.col("v")))
     frac = F.max(F.col("pos") - F.col("r0"))
-    low, high = at("r0"), at("r1")
-    return picked.groupBy(*key).agg((low + (high - low) * frac).alias("value"))
+    return ranked.groupBy(*key).agg((at("r0") + (at("r1") - at("r0")) * frac).alias("value"))
