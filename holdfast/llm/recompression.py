@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import LAST_ID
-from holdfast.llm.repeats import Block, find_repeats
+from holdfast.llm.repeats import LOW, Block, find_repeats
 
 ROUNDS = 2
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -111,7 +111,8 @@ def _least_in(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Windows:
     """Windows of `width` words: the symbols inside them as keys, their digests as pieces."""
 
-    record = np.dtype([("key", "<u8"), ("one", "<u8"), ("two", "<u8"), ("id", "<i8"), ("at", "<i4")])
+    # a window's own digest deals it out, so a frequent symbol spreads over all ranges
+    record = np.dtype([("key", "<u8"), ("two", "<u8"), ("anchor", "<u8"), ("id", "<i8"), ("at", "<i4")])
 
     def __init__(self, width: int):
         self.width = width
@@ -163,7 +164,7 @@ class Windows:
                 break
         d = doc[np.searchsorted(place, at)]
         first = at - ends[d] - 1
-        return key & ~np.uint64(1), d, first, _mix((one[at + w] - one[at]) * down[at]), _mix((two[at + w] - two[at]) * down[at]), spot
+        return key & ~LOW, d, first, _mix((one[at + w] - one[at]) * down[at]), _mix((two[at + w] - two[at]) * down[at]), spot
 
     def keys(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         keys, owner, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -178,7 +179,7 @@ class Windows:
 
     def _places(self, block: Block, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text index and record of each window behind a shared key."""
-        shared = np.sort(shared)
+        shared = np.unique(shared & ~LOW)
         docs, records = [np.zeros(0, np.int64)], [np.zeros(0, self.record)]
         for run in block.chunks():
             found = self._scan([block.texts[i] for i in run])
@@ -188,7 +189,7 @@ class Windows:
             some = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
             doc = np.array(run)[d[some]]
             out = np.zeros(len(doc), dtype=self.record)
-            out["key"], out["one"], out["two"], out["id"], out["at"] = key[some], one[some], two[some], block.ids[doc], first[some]
+            out["key"], out["two"], out["anchor"], out["id"], out["at"] = one[some], two[some], key[some], block.ids[doc], first[some]
             docs.append(doc)
             records.append(out)
         return np.concatenate(docs), np.concatenate(records)
@@ -196,10 +197,10 @@ class Windows:
     @staticmethod
     def _heads(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each window's first occurrence, windows sorted; and the window of each piece."""
-        order = np.lexsort((pieces["at"], pieces["id"], pieces["two"], pieces["one"], pieces["key"]))
-        sorted_ = pieces[order]
+        order = np.lexsort((pieces["at"], pieces["id"], pieces["two"], pieces["key"]))
+        key, two = pieces["key"][order], pieces["two"][order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (sorted_["one"][1:] != sorted_["one"][:-1]) | (sorted_["two"][1:] != sorted_["two"][:-1]) | (sorted_["key"][1:] != sorted_["key"][:-1])
+        new[1:] = (key[1:] != key[:-1]) | (two[1:] != two[:-1])
         went = np.empty(len(order), dtype=np.int64)
         went[order] = np.cumsum(new) - 1
         return order[new], went
@@ -217,12 +218,12 @@ class Windows:
         first, went = self._heads(pieces)
         return self._later(pieces, pieces[first][went])
 
-    def finish(self, block: Block, pieces: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
+    def finish(self, block: Block, shared: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
         words = [t.split() for t in block.texts]
         base = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
         step = np.zeros(int(base[-1]) + 1, dtype=np.int32)
-        if len(pieces):
-            doc, records = self._places(block, np.unique(pieces["key"]))
+        if len(shared):
+            doc, records = self._places(block, shared)
             first, went = self._heads(records)
             hit = (marks[went] > 0) | self._later(records, records[first][went])
             at = base[doc[hit]] + records["at"][hit]

@@ -18,11 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import LAST_ID, block_count, block_of, text_bytes
+from holdfast.llm.common import LAST_ID, block_count, block_of, keep, text_bytes
 
 BLOCK_BYTES = 4_000_000
 RANGE_BYTES = 4_000_000  # text bytes whose keys one range is planned for
 CHUNK = 1_000_000
+HOT = 30_000  # owners from which on a key's pieces are dealt out by their own content
+LOW = np.uint64(0xFF)  # low bits of a key: in a block, how many owners it has (255 at most)
+MARK = np.dtype([("anchor", "<u8"), ("mark", "<u4")])
 
 
 @dataclass
@@ -49,19 +52,22 @@ class Block:
 class Method(Protocol):
     """What an operator adds. Every result depends on the block's texts alone."""
 
-    record: np.dtype  # of a piece; its first field `key` is unsigned with a low bit of 0
+    record: np.dtype  # of a piece: `key` deals it out, `anchor` is the shared key behind it
 
     def keys(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """All keys and their owners; a key is shared once it has two owners."""
+        """All keys, evenly spread and with LOW bits of 0, and their owners; two owners share a key."""
 
     def pieces(self, block: Block, shared: np.ndarray) -> np.ndarray:
-        """The distinct pieces behind shared keys, sorted, as records."""
+        """The distinct pieces behind shared keys, sorted by key, as records.
+
+        The lowest bit of a shared key says that it has HOT owners or more.
+        """
 
     def judge(self, pieces: np.ndarray) -> np.ndarray:
         """A 32-bit mark of each piece, from all pieces of a key range."""
 
-    def finish(self, block: Block, pieces: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
-        """The result rows of a block, in order of its texts."""
+    def finish(self, block: Block, shared: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
+        """The result rows of a block, in order of its texts; a mark for each of its pieces."""
 
 
 def _block(rows: pd.DataFrame, copies: pd.DataFrame) -> Block:
@@ -80,15 +86,16 @@ def _ranges(keys: np.ndarray, count: int) -> list[tuple[int, int, int]]:
     return [(r, int(edge[r]), int(edge[r + 1])) for r in np.flatnonzero(np.diff(edge)).tolist()]
 
 
-def _shared_in_block(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Distinct keys, sorted; the low bit says that the block itself has two owners."""
+def _counted(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct keys, sorted, with the number of their owners in the low bits."""
     order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
     if not len(keys):
         return keys
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    last = np.r_[first[1:], len(keys)] - 1
-    return keys[first] | (owner[first] != owner[last]).astype(np.uint64)
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(new)
+    owners = np.add.reduceat((new | np.r_[True, owner[1:] != owner[:-1]]).astype(np.int64), first)
+    return keys[first] | np.minimum(owners, 255).astype(np.uint64)
 
 
 def _numbers(blobs: pd.Series, kind) -> np.ndarray:
@@ -107,7 +114,7 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
     rows = cohort.select(
         F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("ord"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).select("ord", "text", F.md5(F.col("text").cast("binary")).alias("digest"), block_of(F.col("ord"), F.col("text"), blocks).alias("block"))
-    heads = rows.groupBy("digest").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select(F.col("digest").alias("_d"), "low")
+    heads = keep(rows.groupBy("digest").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select(F.col("digest").alias("_d"), "low"), "heads")
     copies = rows.select("ord", "digest", "block").join(heads, F.col("digest") == F.col("_d")).where("ord > low").select("block", "ord", "digest")
     empty = copies.select(F.col("block").alias("block"), F.lit(0).alias("kind"), F.col("ord").alias("ord"), F.col("digest").alias("digest"), F.lit(None).cast("binary").alias("data"), F.lit(0).alias("range"))
 
@@ -115,11 +122,11 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
         block = _block(left, right[right["kind"] == 0])
         shared = right[right["kind"] == 1].sort_values("range")
         marks = right[right["kind"] == 2].sort_values("range")
-        return block, _numbers(shared["data"], np.uint64), _numbers(marks["data"], np.uint32)
+        return block, _numbers(shared["data"], np.uint64), _numbers(marks["data"], MARK)
 
     def name(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block, _, _ = said(key, left, right)
-        keys = _shared_in_block(*make().keys(block))
+        keys = _counted(*make().keys(block))
         cut = _ranges(keys, ranges)
         return pd.DataFrame({"range": [r for r, _, _ in cut], "block": int(key[0]), "data": [keys[a:b].tobytes() for _, a, b in cut]}, columns=["range", "block", "data"])
 
@@ -127,13 +134,13 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
         part = part.sort_values("block")
         keys = _numbers(part["data"], np.uint64)
         of = np.repeat(np.arange(len(part)), [len(b) // 8 for b in part["data"]])
-        plain = keys >> np.uint64(1)
+        plain = keys & ~LOW
         order = np.argsort(plain, kind="stable")
         first = np.flatnonzero(np.r_[True, plain[order][1:] != plain[order][:-1]])
-        several = (np.diff(np.r_[first, len(keys)]) > 1) | (np.maximum.reduceat(keys[order] & np.uint64(1), first) > 0)
-        hit = np.zeros(len(keys), dtype=bool)
-        hit[order] = np.repeat(several, np.diff(np.r_[first, len(keys)]))
-        keys, of = (plain << np.uint64(1))[hit], of[hit]
+        owners = np.empty(len(keys), dtype=np.uint64)
+        owners[order] = np.repeat(np.add.reduceat(keys[order] & LOW, first), np.diff(np.r_[first, len(keys)]))
+        hit = owners > 1
+        keys, of = (plain | (owners >= HOT))[hit], of[hit]
         edge = np.searchsorted(of, np.arange(len(part) + 1))
         some = [i for i in range(len(part)) if edge[i] < edge[i + 1]]
         return pd.DataFrame({
@@ -151,7 +158,9 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
         method = make()
         part = part.sort_values("block")
         counts = np.array([len(b) for b in part["data"]]) // method.record.itemsize
-        marks = method.judge(_numbers(part["data"], method.record)).astype(np.uint32)
+        pieces = _numbers(part["data"], method.record)
+        marks = np.empty(len(pieces), dtype=MARK)
+        marks["anchor"], marks["mark"] = pieces["anchor"], method.judge(pieces)
         edge = np.r_[0, np.cumsum(counts)]
         return pd.DataFrame({
             "block": part["block"].to_numpy(), "kind": 2, "ord": 0, "digest": "",
@@ -159,10 +168,8 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
         }, columns=REPLY)
 
     def end(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block, shared, marks = said(key, left, right)
-        method = make()
-        pieces = method.pieces(block, shared) if len(shared) else np.zeros(0, method.record)
-        return method.finish(block, pieces, marks)
+        block, _, marks = said(key, left, right)
+        return make().finish(block, np.unique(marks["anchor"]), marks["mark"])
 
     def meet(replies: DataFrame, step, schema: str) -> DataFrame:
         replies = replies.select(*[F.col(c).alias(c) for c in REPLY])
@@ -170,7 +177,7 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
 
     sent, reply = "range int, block int, data binary", "block int, kind int, ord long, digest string, data binary, range int"
     shared = empty.union(meet(empty, name, sent).groupBy("range").applyInPandas(share, reply))
-    judged = shared.union(meet(shared, send, sent).groupBy("range").applyInPandas(weigh, reply))
+    judged = empty.union(meet(shared, send, sent).groupBy("range").applyInPandas(weigh, reply))
     return meet(judged, end, result)
 
 
