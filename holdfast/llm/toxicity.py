@@ -33,10 +33,37 @@ _TABLE = np.zeros(257, dtype=np.int64)
 _TABLE[[ord(c) for c in KNOWN]] = range(1, K)
 
 WORDS = re.compile(r"[^\W\d_]+")
-# a letter beside a sign, a letter three times, or three single characters in a row
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+€(]|[0-9@$!|+€(][^\W\d_]|([^\W\d_])\1\1|(?<!\S)\S \S \S(?!\S)|(?<![^\s.\-_*])[^\W_][.\-_*][^\W_][.\-_*]")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SINGLES = re.compile(r"(?:[\w@$!|+€(][.\-_*]){2,}[\w@$!|+€(]\W*")
 SIGNS = frozenset(LEET)
+END = ".,;:!?#%&*$\"')]"
+
+# Classes of characters for a first look at a text.
+SPACE, JOIN, SIGN, LETTER = 1, 2, 3, 4
+_CLASS = np.full(0x251, LETTER, dtype=np.uint8)
+_CLASS[[c for c in range(0x250) if not chr(c).isalpha()]] = 0
+_CLASS[[c for c in range(0x250) if chr(c).isspace()]] = SPACE
+_CLASS[[ord(c) for c in ".-_*"]] = JOIN
+_CLASS[[ord(c) for c in SIGNS if ord(c) < 0x250]] = SIGN
+
+
+def suspect(text: str) -> bool:
+    """Is there a letter beside a sign, a letter three times, or three single characters in a
+    row, parted by spaces or joining signs?"""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if len(codes) < 3:
+        return False
+    kind = np.r_[SPACE, _CLASS[np.minimum(codes, 0x250)], SPACE, SPACE].astype(np.uint8)
+    letter, sign, space, join = kind == LETTER, kind == SIGN, kind == SPACE, kind == JOIN
+    if (letter[1:] & sign[:-1]).any() or (letter[:-1] & sign[1:]).any():
+        return True
+    if (letter[1:-4] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])).any():
+        return True
+    one = ~space & ~join
+    if len(kind) > 6 and (space[:-6] & one[1:-5] & space[2:-4] & one[3:-3] & space[4:-2] & one[5:-1] & space[6:]).any():
+        return True
+    return bool((~one[:-4] & one[1:-3] & join[2:-2] & one[3:-1] & join[4:]).any())
+
 
 
 def count_trigrams(texts: list[str]) -> np.ndarray:
@@ -66,6 +93,7 @@ class CharacterModel:
         p3 = (n3 + strength * p2[None]) / (n3.sum(axis=2, keepdims=True) + strength)
         self.cost = -np.log(p3).astype(np.float32)
         self._memo: dict[str, str] = {}
+        self._words: dict[str, str] = {}
 
     def decode(self, span: str) -> str:
         """The likeliest text behind a disguised span, by Viterbi over its character lattice.
@@ -102,39 +130,43 @@ class CharacterModel:
     def restore(self, text: str) -> str:
         """Lower-cased text with its disguised words decoded; other words stay as they are."""
         text = text.lower()
-        if not SUSPECT.search(text):
+        if not suspect(text):
             return text
-        out, single = [], []
-        for word in [*text.split(), None]:
-            if word is not None and len(word) == 1 and (word.isalpha() or word in SIGNS):
+        out, single, known = [], [], self._words
+        for word in text.split():
+            if len(word) == 1 and (word.isalpha() or word in SIGNS):
                 single.append(word)
                 continue
-            if len(single) > 2 and len(set(single)) > 1:
-                out.append(self.decode(" ".join(single)))
-            else:
-                out.extend(single)
-            single = []
-            if word is None:
-                break
-            core = word.rstrip(".,;:!?#%&*$\"')]")
-            if len(word) - len(core) == 2 and word.endswith("$$"):
-                core = word
-            if SINGLES.fullmatch(word) and any(c.isalpha() for c in word):
-                out.append(self.decode(word))
-            elif _disguised(core):
-                out.append(self.decode(core) + " " + word[len(core) :])
-            else:
-                out.append(word)
-        return " ".join(out)
+            if single:
+                out.extend(self._singles(single))
+                single = []
+            out.append(known.get(word) or self._word(word))
+        return " ".join([*out, *self._singles(single)])
+
+    def _singles(self, single: list[str]) -> list[str]:
+        return [self.decode(" ".join(single))] if len(single) > 2 and len(set(single)) > 1 else single
+
+    def _word(self, word: str) -> str:
+        done, core = word, word.rstrip(END)
+        if len(word) - len(core) == 2 and word.endswith("$$"):
+            core = word
+        if core.isalpha():
+            if TRIPLE.search(core):
+                done = self.decode(core) + word[len(core) :]
+        elif SINGLES.fullmatch(word) and any(c.isalpha() for c in word):
+            done = self.decode(word)
+        elif _disguised(core):
+            done = self.decode(core) + word[len(core) :]
+        if len(self._words) > 100_000:
+            self._words.clear()
+        self._words[word] = done
+        return done
 
 
 def _disguised(word: str) -> bool:
+    """Letters with signs among them, a third letters at least."""
     letters = sum(map(str.isalpha, word))
-    if not letters:
-        return False
-    if letters == len(word):
-        return any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
-    return letters * 3 >= len(word) and all(c.isalpha() or c in SIGNS for c in word)
+    return letters > 0 and letters * 3 >= len(word) and all(c.isalpha() or c in SIGNS for c in word)
 
 
 def _lattice(span: str) -> list[list[tuple[str, float]]]:
@@ -148,7 +180,7 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
             n = j - i
             options.append([(c * n, 0.0)] if n < 3 else [(c, 1.0), (c * 2, 1.0)])
         elif c in SIGNS:
-            options.append([(x, 0.5) for x in LEET[c]] + [(c, 3.0)])
+            options.append([(x, 0.5) for x in LEET[c]] + [(c, 8.0)])
         elif spaced:
             options.append([("", 0.0), (" ", 1.5)])
         else:
