@@ -43,12 +43,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's edge is cut to the words taken."""
+    """Documents as often as the mix takes them.
+
+    The one at a source's edge is cut to the words taken, joined by single spaces.
+    """
     mixed = mix_strata(docs, quality_weights(spark, sf_dir), id="doc_id", stratum="source", carry=True).where("_taken > 0")
     copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     part = F.least(F.col("_size"), F.col("_taken") - F.col("_nth") * F.col("_size"))
-    # whole words from the start of the text, with the white space between them
-    cut = F.expr("regexp_extract(text, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*+){', _part, '}'), 0)")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, 1, F.col("_part")), " ")
     rows = mixed.withColumn("_nth", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("_part", part.cast("int"))
     text = F.when(F.col("_part") < F.col("_size"), cut).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
