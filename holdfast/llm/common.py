@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that functions run there import it."""
+    context = spark.sparkContext
+    if getattr(context, "_holdfast_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="holdfast-"), "holdfast.zip")
+    with zipfile.ZipFile(path, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(path)
+    context._holdfast_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,6 +70,7 @@ def judged(rows: DataFrame, text: str, judge: Callable[[list], list], kind: str,
     Rows pass through Arrow untouched, so that null ids, wide integers and columns of any
     name come out as they went in. The values of a batch are worked out together.
     """
+    ship(rows.sparkSession)
     whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     at = rows.columns.index(text)
 

@@ -42,10 +42,10 @@ def _strength(level: DataFrame, parent: DataFrame, key: str) -> float:
     the strength is 1 / rho - 1. One number; without spread it is large.
     """
     row = (
-        level.join(parent.select(F.col(key), (F.col("bad") / F.col("n")).alias("m")), key)
+        level.join(parent.select(F.col(key), F.try_divide("bad", "n").alias("m")), key)
         .where("n > 1 and m > 0 and m < 1")
         .agg(
-            F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.col("m")) ** 2 - F.col("m") * (1 - F.col("m"))),
+            F.sum(F.col("n") * (F.try_divide("bad", "n") - F.col("m")) ** 2 - F.col("m") * (1 - F.col("m"))),
             F.sum(F.col("m") * (1 - F.col("m")) * (F.col("n") - 1)),
         )
         .first()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import LAST_ID, block_count, block_of, keep, text_bytes
+from holdfast.llm.common import LAST_ID, block_count, block_of, keep, ship, text_bytes
 
 BLOCK_BYTES = 4_000_000
 RANGE_BYTES = 4_000_000  # text bytes whose keys one range is planned for
@@ -109,6 +109,7 @@ def find_repeats(cohort: DataFrame, make: Callable[[], Method], result: str, id:
     others are copies as a whole.
     """
     spark = cohort.sparkSession
+    ship(spark)
     size = text_bytes(cohort, text)
     blocks, ranges = block_count(spark, size, BLOCK_BYTES), block_count(spark, size, RANGE_BYTES)
     rows = cohort.select(

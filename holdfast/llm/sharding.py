@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from holdfast.llm.common import ship
+
 # Parts of a shard that are numbered apart; shards x PARTS rows are broadcast.
 PARTS = 1024
 
@@ -43,6 +45,8 @@ def shard_rows(cohort: DataFrame, shards: int = 8, id: str = "id", text: str = "
     No text is shuffled. Each shard is numbered in PARTS parts, whose counts are added up in
     a table of shards x PARTS rows at most.
     """
+    ship(cohort.sparkSession)
+
     @F.pandas_udf("shard int, grown_shard int")
     def place(key: pd.Series) -> pd.DataFrame:
         keys = key.to_numpy()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import judged, keep
+from holdfast.llm.common import judged, keep, ship
 from holdfast.llm.graph import components, local_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -140,6 +140,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     """
     if not 0 <= budget <= 3:
         raise ValueError("the blocks hold for a budget of 0 to 3 bits")
+    ship(fps.sparkSession)
     spread = fps.select("fp", F.explode(F.array(*_blocks())).alias("_at")).select("fp", "_at.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

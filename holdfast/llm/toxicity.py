@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import judged
+from holdfast.llm.common import judged, ship
 
 SAMPLE = 12_000  # labelled rows that the classifier is fitted on, at most
 FEATURES = 4_000  # word forms that the classifier keeps, at most
-LEAST_Z = 2.8
+LEAST_Z = 2.72  # a form's log odds ratio in its standard errors
+LEAST_ODDS = 3.0  # and the log odds ratio itself
 
 # What a sign may stand for.
 LEET = {
@@ -268,7 +269,7 @@ def fit_lexicon(cohort: DataFrame, targets: DataFrame, model: CharacterModel, id
     pos, neg = (whole["pos"], whole["neg"]) if whole else (0, 0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     z = F.col("odds") / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = forms.where("form <> '' and pos >= 3").withColumn("odds", odds).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    best = forms.where("form <> '' and pos >= 3").withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     lexicon = Lexicon({r["form"]: r["odds"] for r in best.orderBy(F.desc("z"), "form").limit(FEATURES).collect()})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,6 +297,7 @@ def toxicity(cohort: DataFrame, targets: DataFrame, least: float = 0.3, id: str
     largest holds. Without both classes every text gets the base rate. An empty cohort gives
     no rows. Texts are read whole, in any language.
     """
+    ship(cohort.sparkSession)
     model = fit_characters(cohort, text)
     lexicon = fit_lexicon(cohort, targets, model, id, text)
     rows = cohort if carry else cohort.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
