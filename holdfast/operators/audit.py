@@ -27,21 +27,32 @@ def audit_overlap(splits: DataFrame) -> DataFrame:
 
 
 def audit_entity(splits: DataFrame, cohort: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """Entities with rows on both sides: `(seed, entity, n_train, n_test)`."""
-    rows = splits if entity in splits.columns else splits.join(cohort.select("id", entity), "id")
-    return _both_sides(rows, ["seed", entity])
+    """Entities with rows on both sides: `(seed, entity, n_train, n_test)`.
+
+    Rows without a known entity cannot be judged; they are reported under a null entity.
+    """
+    rows = splits if entity in splits.columns else splits.join(cohort.select("id", entity), "id", "left")
+    return _sides(rows, ["seed", entity]).filter(f"{_BOTH} or `{entity}` is null")
+
+
+_BOTH = "n_train > 0 and n_test > 0"
 
 
 def _both_sides(rows: DataFrame, keys: list[str]) -> DataFrame:
-    counts = rows.groupBy(*keys).agg(
+    return _sides(rows, keys).filter(_BOTH)
+
+
+def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
     )
-    return counts.filter((F.col("n_train") > 0) & (F.col("n_test") > 0))
 
 
 def content_key(parts: Sequence[Column]) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("?")) for p in parts]))
+    """Digest of the parts, each with its length in front, so that no two rows run together."""
+    text = [p.cast("string") for p in parts]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]))
 
 
 def audit_copies(splits: DataFrame, cohort: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -55,10 +66,10 @@ def audit_near(
     """Near copies across sides, per (seed, content).
 
     Rows are near copies when every number falls in the same step of its quantum, every
-    text agrees on its letters and digits regardless of case, and `exact` columns agree.
+    text agrees on its letters and digits, of any script, regardless of case, and `exact` columns agree.
     """
     parts = [F.floor(F.col(c).cast("double") / F.lit(float(q))) for c, q in quanta.items()]
-    parts += [F.lower(F.regexp_replace(F.col(c), "[^A-Za-z0-9]+", "")) for c in texts]
+    parts += [F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", "")) for c in texts]
     parts += [F.col(c) for c in exact]
     return _content_on_both_sides(splits, cohort, content_key(parts))
 

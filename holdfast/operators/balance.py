@@ -36,7 +36,6 @@ def balance(
     how: str,
     groups: int | None = None,
     features: Sequence[str] = (),
-    k: int = 5,
 ) -> DataFrame:
     if how == "none":
         out = _mark(train, how)
@@ -47,7 +46,7 @@ def balance(
     elif how == "weight":
         out = _mark(class_weights(train, groups), how)
     elif how == "synthetic":
-        out = _mark(synthetic_rows(train, features, k, groups), how)
+        out = _mark(synthetic_rows(train, features, groups), how)
     else:
         raise ValueError(f"unknown balancing {how!r}")
     return out
@@ -117,21 +116,13 @@ def unbalanced_and_even(
     ).withColumn("synthetic", F.lit(False))
 
 
-def with_replacement(train: DataFrame, groups: int | None = None) -> DataFrame:
-    """Originals plus n_max - n hashed draws per class.
-
-    Draw numbers come in blocks of about sqrt(deficit), spread over tasks before they
-    are written out, and meet the rows on a dense index.
-    """
-    sizes = class_sizes(train, groups).withColumn("deficit", F.col("n_max") - F.col("n"))
-    short = sizes.filter(F.col("deficit") > 0)
+def _indexed(train: DataFrame, classes: DataFrame, groups: int | None) -> DataFrame:
+    """Rows of the given classes with a dense index from 0 in digest order, `_ix`."""
     keyed = train.withColumn("key", draw_key(F.col("seed"), "ix", F.col("id")))
-    minority = join_small(
-        keyed, short.select("seed", "y", hex_digits(F.col("n")).alias("_d")), ["seed", "y"], rows=groups
-    )
-    indexed = (
+    rows = join_small(keyed, classes.select("seed", "y", hex_digits(F.col("n")).alias("_d")), ["seed", "y"], rows=groups)
+    return (
         prefix_sum(
-            minority.withColumn("_b", F.col("key").substr(F.lit(1), F.col("_d"))).withColumn(
+            rows.withColumn("_b", F.col("key").substr(F.lit(1), F.col("_d"))).withColumn(
                 "_one", F.lit(1).cast("bigint")
             ),
             ["seed", "y"],
@@ -142,6 +133,17 @@ def with_replacement(train: DataFrame, groups: int | None = None) -> DataFrame:
         .withColumn("_ix", F.col("_rank") - 1)
         .drop("key", "_d", "_b", "_one", "_rank")
     )
+
+
+def with_replacement(train: DataFrame, groups: int | None = None) -> DataFrame:
+    """Originals plus n_max - n hashed draws per class.
+
+    Draw numbers come in blocks of about sqrt(deficit), spread over tasks before they
+    are written out, and meet the rows on a dense index.
+    """
+    sizes = class_sizes(train, groups).withColumn("deficit", F.col("n_max") - F.col("n"))
+    short = sizes.filter(F.col("deficit") > 0)
+    indexed = _indexed(train, short, groups)
     draws = (
         short.withColumn("_size", F.ceil(F.sqrt(F.col("deficit").cast("double"))))
         .withColumn("_block", F.explode(F.expr("sequence(0L, (deficit - 1) div _size)")))
@@ -168,91 +170,27 @@ def class_weights(train: DataFrame, groups: int | None = None) -> DataFrame:
     return join_small(train, sizes, ["seed", "y"], rows=groups)
 
 
-def synthetic_rows(
-    train: DataFrame,
-    features: Sequence[str],
-    k: int = 5,
-    groups: int | None = None,
-    width: int = 16,
-    block: int = 20_000,
-) -> DataFrame:
-    """Originals plus interpolated minority rows (Chawla et al. 2002).
+def synthetic_rows(train: DataFrame, features: Sequence[str], groups: int | None = None) -> DataFrame:
+    """Originals plus minority rows interpolated between random pairs of their class.
 
-    A row's neighbours are the k nearest among the `width` rows before and after it in
-    the order of a fixed signed projection, inside blocks of one sign pattern of
-    further projections. Pattern length follows the class size and blocks that still
-    hold too many rows (equal vectors, say) are cut by a hash, so no window sees more
-    than about `block` rows and no pairs are written out.
+    The copies that even oversampling would make each move towards a partner, drawn by
+    digest from the training rows of the same seed and class, by a digest's share of the
+    way. A feature that is null in either row is null. The partner is found on a dense
+    index, so the rule is the same for a class of ten rows and one of a billion.
     """
-    bits = 12
-    x = {f: F.col(f).cast("double") for f in features}
-    zeros = F.array(*[F.coalesce(c, F.lit(0.0)) for c in x.values()])
-    spread = train.groupBy("seed").agg(
-        F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in x.values()]).alias("_mean"),
-        F.array(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in x.values()]).alias("_sd"),
-    )
-    spread = settle(spread, groups)
     sizes = class_sizes(train, groups)
-    rows = join_small(even_copies(train, groups), sizes, ["seed", "y"], rows=groups)
-    rows = join_small(rows.filter(F.col("n") < F.col("n_max")), spread, ["seed"], rows=groups)
-    centred = F.zip_with("_vec", "_mean", lambda a, m: a - m)
-    scaled = F.zip_with(centred, F.col("_sd"), lambda a, sd: F.when(sd > 0, a / sd).otherwise(0.0))
-
-    def projection(name: int):
-        signs = F.array(*[F.lit(sign) for sign in _signs(name, len(features))])
-        parts = F.zip_with("_z", signs, lambda a, sign: a * sign)
-        return F.aggregate(parts, F.lit(0.0), lambda acc, part: acc + part)
-
-    wanted = F.greatest(
-        F.lit(0), F.least(F.lit(bits), F.ceil(F.log2(F.col("n").cast("double") / F.lit(float(block)))))
-    ).cast("int")
-    pattern = F.concat(*[F.when(projection(b + 1) > 0, "1").otherwise("0") for b in range(bits)])
-    rows = (
-        rows.withColumn("_vec", zeros)
-        .withColumn("_z", scaled)
-        .withColumn("_proj", projection(0))
-        .withColumn("_cell", F.when(wanted > 0, pattern.substr(F.lit(1), wanted)).otherwise(""))
-        .drop("_mean", "_sd", "_z", "n", "n_max")
-    )
-    cells = rows.groupBy("seed", "y", "_cell").agg(F.count("*").alias("_c"))
-    parts = F.ceil(F.col("_c") / F.lit(float(block)))
-    rows = join_small(
-        rows, cells, ["seed", "y", "_cell"], rows=None if groups is None else groups * 2**bits
-    ).withColumn("_part", F.pmod(F.xxhash64("id"), parts))
-    near = W.partitionBy("seed", "y", "_cell", "_part").orderBy("_proj", "id")
-    peer = F.struct(F.col("id").alias("id"), F.col("_vec").alias("vec"))
-    rows = rows.withColumn(
-        "_near",
-        F.concat(
-            F.collect_list(peer).over(near.rowsBetween(-width, -1)),
-            F.collect_list(peer).over(near.rowsBetween(1, width)),
-        ),
-    )
-
-    def distance(p):
-        parts = F.zip_with(p["vec"], F.col("_vec"), lambda a, b: (a - b) * (a - b))
-        total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-        return F.struct(total.alias("d"), p["id"].alias("id"), p["vec"].alias("vec"))
-
-    rows = rows.withColumn(
-        "_near", F.slice(F.array_sort(F.transform("_near", distance)), 1, k)
-    ).filter((F.col("copies") > 1))
-    made = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)))
-    key = draw_key(F.col("seed"), "syn", F.col("id"), F.col("copy_no"))
-    pick = F.pmod(hash60(key), F.size("_near")).cast("int")
-    other = F.when(F.size("_near") > 0, F.get("_near", pick)["vec"]).otherwise(F.col("_vec"))
-    step = unit(draw_key(F.col("seed"), "step", F.col("id"), F.col("copy_no")))
-    made = made.withColumn("_new", F.zip_with("_vec", other, lambda a, b: a + (b - a) * step))
-    made = made.withColumns({f: F.get("_new", F.lit(i)) for i, f in enumerate(features)})
-    original = train.withColumn("copy_no", F.lit(0)).withColumn("synthetic", F.lit(False))
-    return original.withColumns({f: F.col(f).cast("double") for f in features}).unionByName(
-        made.withColumn("synthetic", F.lit(True)).select(*original.columns)
-    )
-
-
-def _signs(name: int, width: int) -> list[float]:
-    """Fixed +1/-1 pattern: bits of a multiplicative hash of (projection, position)."""
-    return [1.0 if ((name * 7919 + i * 104729 + 12289) * 2654435761 >> 13) & 1 else -1.0 for i in range(width)]
+    short = sizes.filter(F.col("n") < F.col("n_max"))
+    base = join_small(even_copies(train, groups), short.select("seed", "y", "n"), ["seed", "y"], rows=groups)
+    made = base.filter("copies > 1").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)))
+    made = made.withColumn(
+        "_ix", F.pmod(hash60(draw_key(F.col("seed"), "syn", F.col("id"), F.col("copy_no"))), F.col("n"))
+    ).withColumn("_step", unit(draw_key(F.col("seed"), "step", F.col("id"), F.col("copy_no"))))
+    partner = _indexed(train, short, groups).select("seed", "y", "_ix", *[F.col(f).alias(f"_to_{f}") for f in features])
+    x = {f: F.col(f).cast("double") for f in features}
+    moved = {f: c + (F.col(f"_to_{f}").cast("double") - c) * F.col("_step") for f, c in x.items()}
+    original = train.withColumn("copy_no", F.lit(0)).withColumn("synthetic", F.lit(False)).withColumns(x)
+    made = made.join(partner, ["seed", "y", "_ix"]).withColumns(moved).withColumn("synthetic", F.lit(True))
+    return original.unionByName(made.select(*original.columns))
 
 
 def balance_report(splits: DataFrame, train_set: DataFrame, strategies: Sequence[str]) -> DataFrame:

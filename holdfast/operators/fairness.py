@@ -30,7 +30,7 @@ def subgroups(
     attribute values form the group `missing`.
     """
     if cohort is not None:
-        pred = pred.join(cohort.select("id", *attrs), "id")
+        pred = pred.join(cohort.select("id", *attrs), "id", "left")
     args = ", ".join(f"'{a}', coalesce(cast(`{a}` as string), 'missing')" for a in attrs)
     long = pred.select(*KEYS, "y", "y_pred", F.expr(f"stack({len(attrs)}, {args}) as (attr, grp)"))
     y, p = F.col("y"), F.col("y_pred")

@@ -57,11 +57,15 @@ def point_metrics(conf: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def score_counts(pred: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Counts per distinct rounded score; equal scores collapse before the shuffle."""
+    """Counts per distinct rounded score; equal scores collapse before the shuffle.
+
+    Rows without a score rank nowhere: they count for the confusion cells only.
+    """
     s = F.round(F.col("score"), 6)
+    ranked = s.isNotNull().cast("bigint")
     return pred.groupBy(*keys, F.floor(s).alias("bucket"), s.alias("score")).agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"),
-        F.sum(1 - F.col("y").cast("bigint")).alias("neg"),
+        F.sum(F.col("y").cast("bigint") * ranked).alias("pos"),
+        F.sum((1 - F.col("y").cast("bigint")) * ranked).alias("neg"),
         F.count_if(_cell(1, 1)).alias("tp"),
         F.count_if(_cell(0, 1)).alias("fp"),
         F.count_if(_cell(1, 0)).alias("fn"),

@@ -24,12 +24,16 @@ HOT_ROWS = 1_000_000
 def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Compute a parameter table once, so that later plans hold its rows, not its lineage.
 
-    With a proven bound of `rows` the table becomes a local relation; without one it is
-    written to the shared folder and read back, whatever its size.
+    With a proven bound of `rows` the table becomes a local relation, and a table beyond
+    its bound is an error; without one it is written to the shared folder and read back,
+    whatever its size.
     """
     spark = df.sparkSession
     if rows is not None and rows <= BROADCAST_ROWS:
-        return spark.createDataFrame(df.toArrow(), schema=df.schema)
+        held = df.limit(rows + 1).toArrow()
+        if held.num_rows > rows:
+            raise ValueError(f"more than the {rows} parameter rows that were promised")
+        return spark.createDataFrame(held, schema=df.schema)
     path = new_path(spark, "params")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ def trace(claims: DataFrame, provenance: DataFrame, manifest: DataFrame) -> Data
     """claim -> result -> experiment -> config -> script -> input, nulls where broken.
 
     `provenance` names the result of a claim; the manifest, found by that result, says
-    how it was made.
+    how it was made; of several runs with one result the newest says it.
     """
     links = provenance.select("claim_id", "result_id", "figure")
-    made = manifest.select("result_id", "experiment", "config", "script", "input_fp")
+    how = F.struct("experiment", "config", "script", "input_fp")
+    newest = F.max_by(how, F.struct("created_at", how)) if "created_at" in manifest.columns else F.max(how)
+    made = manifest.groupBy("result_id").agg(newest.alias("_how")).select("result_id", "_how.*")
     return (
         claims.select("claim_id", "metric", "strategy")
         .join(links, "claim_id", "left")
@@ -46,12 +50,20 @@ def check_claims(claims: DataFrame, found: DataFrame) -> DataFrame:
     """Round the recomputed value to the claimed decimals and compare.
 
     `found` is `(metric, strategy, stat, value)`; claims carry `stat` as well (mean, sd,
-    p_value...). Status: confirmed, contradicted or no result.
+    p_value...). Where both sides name an experiment or a model these must agree too, null
+    with null. Status: confirmed, contradicted or no result.
     """
+    on = [c for c in ("experiment", "model") if c in claims.columns and c in found.columns]
     scale = F.pow(F.lit(10.0), F.col("decimals").cast("double"))
     rounded = F.round(F.col("value") * scale) / scale
     return (
-        claims.join(found.select("metric", "strategy", "stat", "value"), ["metric", "strategy", "stat"], "left")
+        claims.alias("c")
+        .join(
+            found.select("metric", "strategy", "stat", "value", *on).alias("f"),
+            reduce(and_, [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("metric", "strategy", "stat", *on)]),
+            "left",
+        )
+        .select("c.*", "f.value")
         .withColumn("recomputed", rounded)
         .withColumn(
             "status",

@@ -24,7 +24,9 @@ def each_seed(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
 
 
 def _stratum(strata: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in strata])
+    """The value itself for one column; of several, each with its length in front."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in strata]
+    return parts[0] if len(parts) == 1 else F.concat(*[F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
 def quotas(counts: DataFrame, by: list[str], per_mille: int) -> DataFrame:
@@ -108,6 +110,8 @@ def plan_holdout(
             .select(entity, (2 * F.col("_pos") > F.col("_n")).cast("int").cast("string").alias("stratum"), "_n")
         )
         units = settle(units)
+        if not units.filter(F.col(entity).isNull()).isEmpty():
+            raise ValueError(f"rows without {entity} cannot be kept on one side")
         unit = units.select(F.col(entity).alias("_unit"), "stratum")
     groups = 2 * len(seeds) if entity or tuple(strata) == ("y",) else None
     counts = unit.groupBy("stratum").agg(F.count("*").alias("n"))

@@ -746,14 +746,29 @@ def _(spark, sf):
     return rounded(out.select("seed", "strategy", "id", "y", "weight"), "weight")
 
 
-@query("balance_synthetic")
+SYN = {f: f"round(k.{f} + (x.{f} - k.{f}) * k.u, 4) + 0.0 AS {f}" for f in DOC_FEATURES}
+
+
+@query(
+    "balance_synthetic",
+    sql(
+        f"""WITH ix AS (SELECT t.seed, t.y, {', '.join('t.' + f for f in DOC_FEATURES)}, s.n,
+                              row_number() OVER (PARTITION BY t.seed, t.y ORDER BY md5(concat_ws('|', t.seed, 'ix', t.id)), t.id) - 1 AS i
+                       FROM docs_splits t JOIN docs_sizes s ON s.seed = t.seed AND s.y = t.y WHERE t.split = 'train'),
+                m AS (SELECT *, unnest(range(1::BIGINT, copies::BIGINT)) AS copy_no FROM docs_copies),
+                k AS (SELECT m.*, ('0x' || substr(md5(concat_ws('|', m.seed, 'syn', id, copy_no)), 1, 15))::BIGINT % s.n AS i,
+                             ('0x' || substr(md5(concat_ws('|', m.seed, 'step', id, copy_no)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+                      FROM m JOIN docs_sizes s ON s.seed = m.seed AND s.y = m.y WHERE s.n < s.n_max)
+           SELECT seed, 'synthetic' AS strategy, id, y, 0::BIGINT AS copy_no, false AS synthetic, {', '.join(f'round({f}::DOUBLE, 4) + 0.0 AS {f}' for f in DOC_FEATURES)}
+           FROM docs_splits WHERE split = 'train'
+           UNION ALL
+           SELECT k.seed, 'synthetic', k.id, k.y, copy_no, true, {', '.join(SYN.values())}
+           FROM k JOIN ix x ON x.seed = k.seed AND x.y = k.y AND x.i = k.i"""
+    ),
+)
 def _(spark, sf):
-    features = [f"e{i}" for i in range(64)]
-    train = sides(S.holdout(emb_cohort(spark, sf), SEEDS, keep=features))[0]
-    out = B.balance(train, "synthetic", GROUPS, features, k=5)
-    return out.groupBy("seed", "strategy", "y", "synthetic").agg(
-        F.count("*").alias("n_rows"), r6(F.avg("e0")).alias("mean_e0"), r6(F.stddev_pop("e0")).alias("sd_e0")
-    )
+    out = B.balance(docs_train(spark, sf, DOC_FEATURES), "synthetic", GROUPS, DOC_FEATURES)
+    return rounded(longs(out.select("seed", "strategy", "id", "y", "copy_no", "synthetic", *DOC_FEATURES), "copy_no"), *DOC_FEATURES, places=4)
 
 
 @query(
@@ -1106,6 +1121,11 @@ def _(spark, sf):
     return A.audit_overlap(leaky_splits(spark, sf))
 
 
+def content_sql(*parts: str) -> str:
+    """Each part with its length in front, `-` for null, as `content_key` writes them."""
+    return " || ".join(f"coalesce(length(({p})::VARCHAR) || ':' || ({p})::VARCHAR, '-')" for p in parts)
+
+
 BOTH_SQL = """SELECT seed, {c}, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test
               FROM ({src}) t GROUP BY 1, 2 HAVING count(DISTINCT split) > 1"""
 
@@ -1121,7 +1141,7 @@ def _(spark, sf):
     sql(
         BOTH_SQL.format(
             c="content",
-            src="""SELECT s.seed, s.split, md5(d.text) AS content FROM doc_all_splits s JOIN documents d ON d.doc_id = s.id""",
+            src=f"""SELECT s.seed, s.split, md5({content_sql('d.text')}) AS content FROM doc_all_splits s JOIN documents d ON d.doc_id = s.id""",
         ),
         doc_all="SELECT doc_id AS id, (lang = 'en')::INT AS y FROM documents",
         **splits_ctes("doc_all", "doc_all", ""),
@@ -1133,7 +1153,7 @@ def _(spark, sf):
     return A.audit_copies(S.holdout(cohort, SEEDS), cohort, ["text"])
 
 
-NEAR_SQL = """SELECT s.seed, s.split, md5(concat_ws('|', floor(c.n_chars / 40)::BIGINT, floor(c.word_len / 0.5::DOUBLE)::BIGINT, c.lang)) AS content
+NEAR_SQL = f"""SELECT s.seed, s.split, md5({content_sql('floor(c.n_chars / 40)::BIGINT', 'floor(c.word_len / 0.5::DOUBLE)::BIGINT', 'c.lang')}) AS content
               FROM docs_splits s JOIN docs c ON c.id = s.id"""
 
 
@@ -1148,16 +1168,16 @@ def _(spark, sf):
     sql(
         BOTH_SQL.format(
             c="content",
-            src="""SELECT s.seed, s.split, md5(lower(regexp_replace(p.text, '[^A-Za-z0-9]+', '', 'g'))) AS content
-                   FROM conv_splits s JOIN conv p ON p.id = s.id""",
+            src=f"""SELECT s.seed, s.split, md5({content_sql("lower(regexp_replace(d.text, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))")}) AS content
+                   FROM doc_all_splits s JOIN documents d ON d.doc_id = s.id""",
         ),
-        conv="SELECT conv_id * 1000 + turn AS id, (role = 'user')::INT AS y, text FROM conversations",
-        **splits_ctes("conv", "conv", ""),
+        doc_all="SELECT doc_id AS id, (lang = 'en')::INT AS y FROM documents",
+        **splits_ctes("doc_all", "doc_all", ""),
     ),
 )
 def _(spark, sf):
-    rows = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("role") == "user").cast("int").alias("y"), "text"
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("y"), "text"
     )
     return A.audit_near(S.holdout(rows, SEEDS), rows, {}, texts=["text"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +30,9 @@ def get_session(app: str = "holdfast", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is
-    made, and remembered in the session so that later calls see the same one.
+    Only where all work is done on one machine (a `local` master, as in tests) and none is
+    named, a temporary folder is made, remembered in the session so that later calls see
+    the same one, and removed when Python ends. On a cluster a missing name is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -37,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("holdfast.shared.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="holdfast-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("holdfast.shared.dir", path)
     return path
 

@@ -49,7 +49,7 @@ def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") ->
     """
     parts = ["experiment", "strategy", "seed"]
     df.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_results(df: DataFrame, family: str, path: str, csv: bool = False, mode: str = "errorifexists") -> DataFrame:

@@ -36,34 +36,32 @@ def test_weights_do_not_add_rows(small):
     assert {(r["y"], r["weight"]) for r in out.collect()} == {(0, 1.0), (1, 2.5)}
 
 
-def test_synthetic_rows_lie_between_true_neighbours(spark):
+def test_synthetic_rows_lie_between_rows_of_their_class(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, 3))
-    rows = [(1, i, int(i < 12), *map(float, x[i])) for i in range(60)]
-    train = spark.createDataFrame(rows, "seed int, id bigint, y int, a double, b double, c double")
-    out = balance(train, "synthetic", 2, ["a", "b", "c"], k=3)
-    assert counts(out) == {0: 48, 1: 48}
-    minority = x[:12]
-    made = out.filter("synthetic").collect()
-    assert len(made) == 36
-    for r in made:
-        base, point = x[r["id"]], np.array([r["a"], r["b"], r["c"]])
-        near = np.argsort(((minority - base) ** 2).sum(1), kind="stable")[1:4]
-        gaps = []
-        for j in near:
-            d = minority[j] - base
-            step = np.clip(np.dot(point - base, d) / np.dot(d, d), 0, 1)
-            gaps.append(np.abs(base + step * d - point).max())
-        assert min(gaps) < 1e-9
-
-
-def test_synthetic_survives_equal_vectors(spark):
-    rows = [(1, i, int(i < 40), 1.0, 2.0) for i in range(130)]
+    for n, small in ((60, 12), (3000, 900)):
+        x = rng.normal(size=(n, 3))
+        rows = [(1, i, int(i < small), *map(float, x[i])) for i in range(n)]
+        train = spark.createDataFrame(rows, "seed int, id bigint, y int, a double, b double, c double")
+        out = balance(train, "synthetic", 2, ["a", "b", "c"])
+        assert counts(out) == {0: n - small, 1: n - small}
+        made = out.filter("synthetic").collect()
+        assert len(made) == n - 2 * small
+        for r in made[:300]:
+            base, point = x[r["id"]], np.array([r["a"], r["b"], r["c"]])
+            d = x[:small] - base
+            size = (d * d).sum(1)
+            step = np.clip((d @ (point - base)) / np.where(size > 0, size, 1), 0, 1)
+            assert np.abs(base + step[:, None] * d - point).max(1).min() < 1e-9
+
+
+def test_synthetic_keeps_nulls_and_survives_equal_vectors(spark):
+    rows = [(1, i, int(i < 40), 1.0 if i % 2 else None, 2.0) for i in range(130)]
     train = spark.createDataFrame(rows, "seed int, id bigint, y int, a double, b double")
-    from holdfast.operators.balance import synthetic_rows
-
-    out = synthetic_rows(train, ["a", "b"], 3, 2, width=4, block=10)
-    assert counts(out) == {0: 90, 1: 90} and out.filter("a <> 1.0 or b <> 2.0").count() == 0
+    out = balance(train, "synthetic", 2, ["a", "b"])
+    assert counts(out) == {0: 90, 1: 90} and out.filter("a <> 1.0 or b <> 2.0 or b is null").count() == 0
+    made = out.filter("synthetic")
+    assert 0 < made.filter("a is null").count() < made.count()
+    assert made.filter("a is not null and id % 2 = 0").count() == 0
 
 
 def test_only_training_ids_are_balanced(cohort):
