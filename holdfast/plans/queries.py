@@ -1168,7 +1168,7 @@ def _(spark, sf):
     sql(
         BOTH_SQL.format(
             c="content",
-            src=f"""SELECT s.seed, s.split, md5({content_sql("lower(regexp_replace(d.text, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))")}) AS content
+            src=f"""SELECT s.seed, s.split, md5({content_sql("lower(regexp_replace(d.text, '[^\\p{L}\\p{N}]+', '', 'g'))")}) AS content
                    FROM doc_all_splits s JOIN documents d ON d.doc_id = s.id""",
         ),
         doc_all="SELECT doc_id AS id, (lang = 'en')::INT AS y FROM documents",
