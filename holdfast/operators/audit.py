@@ -7,6 +7,7 @@ of copies holding a third of the data costs one counter per map task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ def content_key(parts: Sequence[Column]) -> Column:
 
 def audit_copies(splits: DataFrame, cohort: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Identical content with different ids in train and test, per (seed, content)."""
-    return _content_on_both_sides(splits, cohort, content_key([F.col(c) for c in cols]))
+    keyed = cohort.select("id", content_key([F.col(c) for c in cols]).alias("content"))
+    return _content_on_both_sides(splits, keyed)
 
 
 def audit_near(
@@ -71,11 +73,57 @@ def audit_near(
     parts = [F.floor(F.col(c).cast("double") / F.lit(float(q))) for c, q in quanta.items()]
     parts += [F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", "")) for c in texts]
     parts += [F.col(c) for c in exact]
-    return _content_on_both_sides(splits, cohort, content_key(parts))
+    return _content_on_both_sides(splits, cohort.select("id", content_key(parts).alias("content")))
 
 
-def _content_on_both_sides(splits: DataFrame, cohort: DataFrame, key: Column) -> DataFrame:
-    keyed = cohort.select("id", key.alias("content"))
+# Fixed value: a prime above the 28-bit digests of shingles, for linear hash functions.
+PRIME = 2**31 - 1
+
+
+def linear_hashes(count: int) -> list[tuple[int, int]]:
+    """Factors and offsets of `count` hash functions, drawn by digest."""
+    draw = lambda kind, i: int(md5(f"{kind}{i}".encode()).hexdigest()[:12], 16)
+    return [(1 + draw("a", i) % (PRIME - 1), draw("b", i) % PRIME) for i in range(count)]
+
+
+def band_signatures(text: Column, bands: int = 10, rows: int = 4, words: int = 5) -> Column:
+    """Min-hash signatures of a text's word shingles, one per band, as an array of strings.
+
+    Words are runs of letters and digits of any script, regardless of case; a shorter
+    text is one shingle, a text without words has no signature. Two texts whose shingles
+    agree to a share s have a signature in common with probability 1 - (1 - s^rows)^bands:
+    0.995 at 0.8, 0.08 at 0.3.
+    """
+    plain = F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # evaluated once, not once per element
+
+    def hashes(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (words - 1), F.lit(1)))
+        shingle = lambda i: F.md5(F.array_join(F.slice(parts, i, words), " "))
+        return F.transform(starts, lambda i: F.conv(F.substring(shingle(i), 1, 7), 16, 10).cast("bigint"))
+
+    def band(xs: Column) -> Column:
+        hashed = lambda a, b: F.array_min(F.transform(xs, lambda x: (x * a + b) % PRIME))
+        least = [hashed(a, b) for a, b in linear_hashes(bands * rows)]
+        cut = [least[i * rows : (i + 1) * rows] for i in range(bands)]
+        return F.array(*[F.concat(F.lit(f"{i}:"), F.md5(F.concat_ws("|", *[c.cast("string") for c in part]))) for i, part in enumerate(cut)])
+
+    return F.when(F.length(plain) > 0, bind(bind(F.split(plain, " "), hashes), band))
+
+
+def audit_similar(
+    splits: DataFrame, cohort: DataFrame, text: str, bands: int = 10, rows: int = 4, words: int = 5
+) -> DataFrame:
+    """Texts that share most of their word shingles across sides, per (seed, signature).
+
+    `content` is a band and the digest of its min-hashes (see `band_signatures`). Rows are
+    counted by signature, never paired.
+    """
+    signatures = band_signatures(F.col(text), bands, rows, words)
+    return _content_on_both_sides(splits, cohort.select("id", F.explode(signatures).alias("content")))
+
+
+def _content_on_both_sides(splits: DataFrame, keyed: DataFrame) -> DataFrame:
     repeated = (
         keyed.groupBy("content")
         .agg(F.count("*").alias("_n"))
@@ -179,10 +227,11 @@ def audit_params(
     """
     keys = list(keys)
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tol * F.greatest(F.lit(1.0), F.abs(F.col(b)))
-    joined = (
-        params.select(*keys, F.col("value").alias("stored"))
-        .join(refit_train.select(*keys, F.col("value").alias("from_train")), keys, "full_outer")
-        .join(refit_all.select(*keys, F.col("value").alias("from_all")), keys, "left")
+    names = ("stored", "from_train", "from_all")
+    tagged = [df.select(*keys, F.lit(n).alias("_from"), "value") for n, df in zip(names, (params, refit_train, refit_all))]
+    # Grouping takes null keys (the levels of an encoding) as equal, a join would not.
+    joined = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_from") == n, F.col("value"))).alias(n) for n in names]
     )
     bad = ~F.coalesce(near("stored", "from_train"), F.lit(False)) & ~(
         F.col("stored").isNull() & F.col("from_train").isNull()

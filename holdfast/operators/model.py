@@ -6,8 +6,9 @@ import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from holdfast.functions.expr import ratio
 from holdfast.operators.primitives import join_small, settle
@@ -47,11 +48,48 @@ def fit_gnb(
     Columns: `n0, n1`, and per feature `m0_, v0_, m1_, v1_`. Variances are floored at
     1e-9 of the largest feature variance of the group (1e-9 when all are constant).
     """
-    x = {f: F.col(f).cast("double") for f in features}
+    classes = train_set.groupBy(*by, "y").agg(*_moments(features))
+    return _gnb_rows(classes, features, by, groups)
+
+
+def fit_gnb_copies(train: DataFrame, features: Sequence[str], groups: int | None = None) -> DataFrame:
+    """`fit_gnb` for unbalanced and evenly oversampled training, without making a copy.
+
+    `train` carries `copies` (see `even_copies`). Moments are taken once per (seed, class,
+    copies), a handful of rows, and merged with the copies as weights.
+    """
+    parts = train.groupBy("seed", "y", "copies").agg(*_moments(features))
+    plans = F.array(
+        F.struct(F.lit("unbalanced").alias("strategy"), F.lit(1).alias("w")),
+        F.struct(F.lit("oversampled").alias("strategy"), F.col("copies").alias("w")),
+    )
+    rows = parts.withColumn("_plan", F.explode(plans)).select("*", "_plan.strategy", "_plan.w").drop("_plan", "copies")
+    group = W.partitionBy("seed", "strategy", "y")
+    n = {f: F.col("w") * F.col(f"n_{f}") for f in features}
+    means = {f"_mean_{f}": F.try_divide(F.sum(n[f] * F.col(f"m_{f}")).over(group), F.sum(n[f]).over(group)) for f in features}
+    aggs = [F.sum(F.col("w") * F.col("_rows")).alias("_rows")]
+    for f in features:
+        off = F.col(f"m_{f}") - F.col(f"_mean_{f}")
+        spread = F.sum(n[f] * (F.col(f"v_{f}") + off * off))
+        aggs += [
+            F.sum(n[f]).alias(f"n_{f}"),
+            F.max(f"_mean_{f}").alias(f"m_{f}"),
+            F.try_divide(spread, F.sum(n[f])).alias(f"v_{f}"),
+        ]
+    classes = rows.withColumns(means).groupBy("seed", "strategy", "y").agg(*aggs)
+    return _gnb_rows(classes, features, ["seed", "strategy"], groups)
+
+
+def _moments(features: Sequence[str]) -> list[Column]:
     aggs = [F.count("*").alias("_rows")]
-    for f, c in x.items():
+    for f in features:
+        c = F.col(f).cast("double")
         aggs += [F.count(c).alias(f"n_{f}"), F.avg(c).alias(f"m_{f}"), F.var_pop(c).alias(f"v_{f}")]
-    classes = train_set.groupBy(*by, "y").agg(*aggs)
+    return aggs
+
+
+def _gnb_rows(classes: DataFrame, features: Sequence[str], by: Sequence[str], groups: int | None) -> DataFrame:
+    """One wide parameter row per group from the moments of its classes."""
     pivot = []
     for c in (0, 1):
         mine = F.col("y") == c

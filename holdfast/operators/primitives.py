@@ -224,14 +224,29 @@ def take_k(
     )
 
 
+def range_buckets(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds `name`, a number that rises with (group, order), by ranges of even size.
+
+    Spark samples the ranges; the numbers are written with the rows, so that every later
+    plan sees the same ones.
+    """
+    path = new_path(df.sparkSession, "ranges")
+    ranged = df.repartitionByRange(*group, *order).withColumn(name, F.spark_partition_id())
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
 def prefix_sum(
-    df: DataFrame, group: list[str], bucket: str, order: list[Column], vals: dict[str, str]
+    df: DataFrame, group: list[str], bucket: str | None, order: list[Column], vals: dict[str, str]
 ) -> DataFrame:
     """Running sums over a whole group, windowed only inside (group, bucket).
 
-    `bucket` must rise with `order`. `vals` maps an input column to its output name.
+    `bucket` must rise with `order`; without one, ranges of even size are made, so that
+    no window grows with the data. `vals` maps an input column to its output name.
     The bucket totals come back by an equi-join on the keys the window needs anyway.
     """
+    if bucket is None:
+        return prefix_sum(range_buckets(df, group, order, "_range"), group, "_range", order, vals).drop("_range")
     keys = [*group, bucket]
     totals = df.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in vals])
     earlier = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from holdfast.functions.expr import ratio
 from holdfast.operators.metrics import confusion, point_metrics
-from holdfast.operators.primitives import exact_percentiles, join_small, settle
+from holdfast.operators.primitives import exact_percentiles, join_small, prefix_sum, settle
 
 BY = ["seed"]
 
@@ -149,35 +149,59 @@ def apply_params(
     return out.withColumns(new).select(*df.columns, *[f"{f}_missing" for f in features])
 
 
+def apply_select(
+    df: DataFrame, selected: DataFrame, features: Sequence[str], by: Sequence[str] = BY, groups: int | None = None
+) -> DataFrame:
+    """Features that `fit_select` left out for a group become null in its rows.
+
+    The columns stay the same for every group, and null adds nothing to a score.
+    """
+    by = list(by)
+    kept = [F.max(F.col("feature") == f).alias(f"_keep_{f}") for f in features]
+    wide = settle(selected.groupBy(*by).agg(*kept), groups)
+    out = join_small(df, wide, by, "left", rows=groups)
+    return out.withColumns({f: F.when(F.col(f"_keep_{f}"), F.col(f)) for f in features}).select(*df.columns)
+
+
 def fit_encode(
-    train: DataFrame, cols: Sequence[str], how: str = "ordinal", smooth: float = 10.0, by: Sequence[str] = BY
+    train: DataFrame,
+    cols: Sequence[str],
+    how: str = "ordinal",
+    smooth: float = 10.0,
+    by: Sequence[str] = BY,
+    groups: int | None = None,
 ) -> DataFrame:
     """Level table `(by..., feature, level, n, value)` from training rows.
 
     ordinal: position of the level in sorted order; target: positive share smoothed
     towards the group's share by `smooth` rows; onehot: 1.0 for every seen level.
-    A row with null level carries the value for levels not seen in training.
+    A null level with n = 0 carries the value for levels not seen in training; null in
+    the training rows is a level of its own, null with its count. No task holds all
+    levels of a feature: shares are aggregates, positions are sums over ranges.
     """
     by = list(by)
-    args = ", ".join(f"'{c}', coalesce(cast(`{c}` as string), 'missing')" for c in cols)
+    args = ", ".join(f"'{c}', cast(`{c}` as string)" for c in cols)
     long = train.select(*by, "y", F.expr(f"stack({len(cols)}, {args}) as (feature, level)"))
     levels = long.groupBy(*by, "feature", "level").agg(
         F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("_pos")
     )
-    whole = W.partitionBy(*by, "feature")
-    prior = ratio(F.sum("_pos").over(whole), F.sum("n").over(whole))
+    whole = [*by, "feature"]
     if how == "ordinal":
-        value = (F.row_number().over(whole.orderBy("level")) - 1).cast("double")
-        other = F.lit(-1.0)
+        ranked = prefix_sum(levels.withColumn("_one", F.lit(1).cast("bigint")), whole, None, [F.col("level")], {"_one": "_rank"})
+        levels = ranked.withColumn("value", (F.col("_rank") - 1).cast("double"))
+        unseen = levels.select(*whole).distinct().withColumn("value", F.lit(-1.0))
     elif how == "target":
+        levels = settle(levels)
+        cells = None if groups is None else groups * len(cols)
+        prior = settle(levels.groupBy(*whole).agg(ratio(F.sum("_pos"), F.sum("n")).alias("_prior")), cells)
         value = F.try_divide(F.col("_pos") + smooth * F.col("_prior"), F.col("n") + smooth)
-        other = F.max("_prior")
+        levels = join_small(levels, prior, whole, rows=cells).withColumn("value", value)
+        unseen = prior.withColumnRenamed("_prior", "value")
     elif how == "onehot":
-        value, other = F.lit(1.0), F.lit(0.0)
+        levels = levels.withColumn("value", F.lit(1.0))
+        unseen = levels.select(*whole).distinct().withColumn("value", F.lit(0.0))
     else:
         raise ValueError(f"unknown encoding {how!r}")
-    levels = levels.withColumn("_prior", prior).withColumn("value", value)
-    unseen = levels.groupBy(*by, "feature").agg(other.alias("value"))
     return levels.select(*by, "feature", "level", "n", "value").unionByName(
         unseen.select(*by, "feature", F.lit(None).cast("string").alias("level"), F.lit(0).cast("bigint").alias("n"), "value")
     )
@@ -196,9 +220,10 @@ def apply_encode(
     out = df
     for c in cols:
         part = codes.filter(F.col("feature") == c)
-        seen = part.filter(F.col("level").isNotNull()).select(*by, F.col("level").alias("_level"), F.col("value").alias("_v"))
-        rest = part.filter(F.col("level").isNull()).select(*by, F.col("value").alias("_rest"))
-        keyed = out.withColumn("_level", F.coalesce(F.col(c).cast("string"), F.lit("missing")))
+        key = lambda v: F.coalesce(F.concat(F.lit("="), v.cast("string")), F.lit("-"))
+        seen = part.filter("n > 0").select(*by, key(F.col("level")).alias("_level"), F.col("value").alias("_v"))
+        rest = part.filter("n = 0").select(*by, F.col("value").alias("_rest"))
+        keyed = out.withColumn("_level", key(F.col(c)))
         keyed = join_small(keyed, seen, [*by, "_level"], "left", rows=cells)
         keyed = join_small(keyed, rest, by, "left", rows=cells)
         out = keyed.withColumn(f"{c}_code", F.coalesce("_v", "_rest")).select(*out.columns, f"{c}_code")
@@ -220,11 +245,19 @@ def tune(scored: DataFrame, thresholds: Sequence[float], metric: str = "f1") ->
 
     Every threshold is counted in the same pass; ties go to the smallest threshold.
     """
-    keys = ["experiment", "model", "strategy", "seed", "threshold"]
     grid = scored.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    labelled = grid.withColumn("y_pred", (F.col("score") > F.col("threshold")).cast("int"))
+    return best_setting(grid.withColumn("y_pred", (F.col("score") > F.col("threshold")).cast("int")), "threshold", metric)
+
+
+def best_setting(labelled: DataFrame, setting: str, metric: str = "f1") -> DataFrame:
+    """The value of a numeric setting whose inner validation labels are best.
+
+    `labelled` holds the predictions of every value, `setting` tells them apart; ties go
+    to the smallest value.
+    """
+    keys = ["experiment", "model", "strategy", "seed", setting]
     values = point_metrics(confusion(labelled, keys), keys).filter(F.col("metric") == metric)
-    order = F.struct(F.round("value", 9).alias("v"), (-F.col("threshold")).alias("t"))
+    order = F.struct(F.round("value", 9).alias("v"), (-F.col(setting)).alias("t"))
     return values.groupBy("experiment", "model", "strategy", "seed").agg(
-        F.max_by("threshold", order).alias("threshold"), F.max("value").alias("value")
+        F.max_by(setting, order).alias(setting), F.max("value").alias("value")
     )

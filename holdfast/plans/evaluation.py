@@ -1,4 +1,4 @@
-"""The evaluation end to end, lazily or through frozen tables."""
+"""The evaluation end to end, as one lazy plan; `run.py` keeps every step of it as a table."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.balance import unbalanced_and_even
+from holdfast.operators.balance import even_copies
 from holdfast.operators.metrics import evaluate
-from holdfast.operators.model import fit_gnb, score_gnb
+from holdfast.operators.model import fit_gnb_copies, score_gnb
 from holdfast.operators.split import plan_holdout
 from holdfast.operators.stability import summarize
 
@@ -35,8 +35,8 @@ def gnb_predictions(
     """Split, balance the training side, fit and score the test side, for all seeds."""
     plan = plan_holdout(cohort, seeds, entity=entity)
     train, test = sides(plan.apply(cohort, [*features, *keep]))
-    train_set = unbalanced_and_even(train, 2 * len(seeds), plan.train_sizes())
-    params = fit_gnb(train_set, features, groups=2 * len(seeds))
+    copies = even_copies(train, 2 * len(seeds), plan.train_sizes())
+    params = fit_gnb_copies(copies, features, groups=2 * len(seeds))
     return score_gnb(test, params, features, experiment, groups=2 * len(seeds), keep=keep)
 
 

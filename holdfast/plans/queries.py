@@ -8,6 +8,8 @@ to find.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ from holdfast.operators import stability as H
 from holdfast.operators import stats as I
 from holdfast.operators import transform as D
 from holdfast.operators.figures import figure_data
-from holdfast.operators.primitives import prefix_sum, take_k
+from holdfast.operators.primitives import prefix_sum, settle, take_k
 from holdfast.plans.cohorts import DOC_FEATURES, ORDER_FEATURES, docs_cohort, emb_cohort, orders_cohort, table
 from holdfast.plans.evaluation import SEEDS, STRATEGIES, gnb_predictions, sides
 from holdfast.plans.oracle import CTES, fairness_ctes, gnb_ctes, metric_ctes, quota_sql, r, splits_ctes, sql, train_ctes
+from holdfast.plans.run import Run, audit_summary, evaluate_run
 from holdfast.session import new_path
 from holdfast.sources import sinks
 from holdfast.sources.cohort import CohortSpec, experiment_grid, load_cohort, seed_table
@@ -189,25 +192,31 @@ def _(spark, sf):
 @query("save_model")
 def _(spark, sf):
     path = new_path(spark, "store")
-    train, test = sides(S.holdout(docs(spark, sf), SEEDS[:1], keep=DOC_FEATURES))
-    for kind in ("logistic", "forest"):
-        model = M.fit_ml(kind, train, SEEDS[0], DOC_FEATURES)
+    train, test = sides(S.freeze(docs_splits(spark, sf, DOC_FEATURES), new_path(spark, "splits")))
+    cells = [(kind, seed) for kind in ("logistic", "forest", "boosted") for seed in SEEDS]
+
+    def fit(cell):
+        kind, seed = cell
         meta = {
-            "experiment": "docs", "model": kind, "strategy": "unbalanced", "seed": SEEDS[0],
-            "config": "frac=0.2", "preprocessing": "median-free mean fill, fitted on training rows",
+            "experiment": "docs", "model": kind, "strategy": "unbalanced", "seed": seed,
+            "config": "frac=0.2", "preprocessing": "mean fill, fitted on training rows",
         }
-        sinks.save_model(model, meta, path)
-    out = None
-    for row in sinks.model_registry(spark, path).collect():
-        scored = M.score_ml(sinks.load_model(row["path"]), test, DOC_FEATURES, "docs", row["model"], row["strategy"])
-        out = scored if out is None else out.unionByName(scored)
-    return G.confusion(out)
+        sinks.save_model(M.fit_ml(kind, train.filter(F.col("seed") == seed), seed, DOC_FEATURES), meta, path)
+
+    def score(row):
+        part = test.filter(F.col("seed") == int(row["seed"]))
+        return M.score_ml(sinks.load_model(row["path"]), part, DOC_FEATURES, "docs", row["model"], row["strategy"])
+
+    with ThreadPoolExecutor(4) as pool:  # one cell is a model, not a part of the rows
+        list(pool.map(fit, cells))
+        scored = list(pool.map(score, sinks.model_registry(spark, path).collect()))
+    return G.confusion(reduce(DataFrame.unionByName, scored))
 
 
 @query("append_manifest")
 def _(spark, sf):
     path = new_path(spark, "manifest")
-    digest = L.fingerprint(table(spark, sf, "labels")).first()["fingerprint"]
+    digest = ";".join(f"{t}:{L.fingerprint(table(spark, sf, t)).first()['fingerprint']}" for t in ("documents", "labels"))
     metrics = docs_metrics(spark, sf)
     for config in ("frac=0.2", "frac=0.2;rerun"):
         back = sinks.append_manifest(sinks.manifest_rows(metrics, "repeated_holdout", config, digest), path)
@@ -495,9 +504,8 @@ def _(spark, sf):
         "o_orderstatus",
         "o_orderdate",
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
-        F.expr("year(o_orderdate) * 100 + month(o_orderdate)").alias("ym"),
     )
-    out = prefix_sum(rows, ["o_orderstatus"], "ym", [F.col("o_orderdate"), F.col("o_orderkey")], {"cents": "running"})
+    out = prefix_sum(rows, ["o_orderstatus"], None, [F.col("o_orderdate"), F.col("o_orderkey")], {"cents": "running"})
     return out.select("o_orderkey", "o_orderstatus", "cents", "running")
 
 
@@ -518,14 +526,12 @@ IMPUTE = {
 
 # Averages of cents end in exact halves at fewer places, which engines round apart.
 IMPUTE_PLACES = {"mean": 4, "median": 4, "mode": 4}
-# A most frequent value makes sense for values that repeat.
-MODE_FEATURES = ["price", "month", "quantity"]
 
 
 def impute_sql(how: str) -> str:
     src = f"({ORD_LONG})"
     if how == "mode":
-        src = f"(SELECT seed, feature, value, count(*) AS n FROM ({melt_sql('ord_splits', MODE_FEATURES)}) m WHERE value IS NOT NULL GROUP BY ALL)"
+        src = f"(SELECT seed, feature, round(value, 6) AS value, count(*) AS n FROM ({ORD_LONG}) m WHERE value IS NOT NULL GROUP BY ALL)"
     return f"SELECT seed, 'impute' AS transform, feature, 'fill' AS stat, {IMPUTE[how]} AS value FROM {src} l GROUP BY seed, feature"
 
 
@@ -533,9 +539,10 @@ for how_ in IMPUTE:
 
     @query(f"impute_{how_}", sql(f"SELECT seed, transform, feature, stat, {r('value', IMPUTE_PLACES[how_])} FROM ({impute_sql(how_)}) t"))
     def _(spark, sf, how=how_):
-        features = MODE_FEATURES if how == "mode" else ORDER_FEATURES
-        train = ord_train(spark, sf, features)
-        return rounded(D.fit_impute(train, features, how, groups=len(SEEDS)), "value", places=IMPUTE_PLACES[how])
+        train = ord_train(spark, sf, ORDER_FEATURES)
+        if how == "mode":  # sums and averages repeat only once their last bits are rounded off
+            train = train.withColumns({f: F.round(f, 6) for f in ORDER_FEATURES})
+        return rounded(D.fit_impute(train, ORDER_FEATURES, how, groups=len(SEEDS)), "value", places=IMPUTE_PLACES[how])
 
 
 SCALE = {
@@ -585,7 +592,7 @@ for how_ in ENC_VALUE:
         ),
     )
     def _(spark, sf, how=how_):
-        return rounded(D.fit_encode(ord_train(spark, sf, CATS), CATS, how), "value")
+        return rounded(D.fit_encode(ord_train(spark, sf, CATS), CATS, how, groups=len(SEEDS)), "value")
 
 
 @query(
@@ -602,9 +609,9 @@ for how_ in ENC_VALUE:
 def _(spark, sf):
     # Fitted on part of the languages, so that test rows do meet unseen levels.
     train, test = sides(docs_splits(spark, sf, ["lang", "source"]))
-    codes = D.fit_encode(train.filter(F.col("lang") != "en"), ["source"], "target")
+    codes = D.fit_encode(train.filter(F.col("lang") != "en"), ["source"], "target", groups=len(SEEDS))
     coded = D.apply_encode(test, codes, ["source"])
-    seen = codes.select("seed", F.col("level").alias("source"), "n").filter(F.col("source").isNotNull())
+    seen = codes.filter("n > 0").select("seed", F.col("level").alias("source"), "n")
     out = coded.join(seen, ["seed", "source"], "left")
     return rounded(out.select("seed", "id", "source", F.coalesce("n", F.lit(0)).alias("n_seen"), "source_code"), "source_code")
 
@@ -670,11 +677,33 @@ def _(spark, sf):
     return rounded(out.select("seed", "id", *ORDER_FEATURES, *flags), *ORDER_FEATURES, places=4)
 
 
+def selected_ctes(p: str, source: str, k: int) -> dict[str, str]:
+    """`p_splits`: rows of `source` in which all but the k best features of a seed are null."""
+    keep = ", ".join(f"bool_or(feature = '{f}') AS k_{f}" for f in F4)
+    return {
+        f"{p}_score": f"SELECT seed, feature, abs(corr(value, y)) AS value FROM ({melt_sql(source, F4)}) l GROUP BY seed, feature",
+        f"{p}_sel": f"""SELECT seed, {keep} FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(value, 9) DESC, feature) AS rank
+                        FROM {p}_score) t WHERE rank <= {k} GROUP BY seed""",
+        f"{p}_splits": f"""SELECT s.seed, s.id, s.y, s.split, {', '.join(f'CASE WHEN k_{f} THEN {f} END AS {f}' for f in F4)}
+                           FROM {source} s JOIN {p}_sel USING (seed)""",
+    }
+
+
+@query(
+    "apply_select",
+    sql(f"SELECT seed, id, split, {r(', '.join(F4))} FROM two_splits", **selected_ctes("two", "docs_splits", 2)),
+)
+def _(spark, sf):
+    splits = docs_splits(spark, sf, F4)
+    out = D.apply_select(splits, D.fit_select(sides(splits)[0], F4, 2), F4, groups=len(SEEDS))
+    return rounded(out.select("seed", "id", "split", *F4), *F4)
+
+
 THRESHOLDS = [-2.0, -1.0, 0.0, 1.0, 2.0]
 TUNE = dict(
     **INNER,
     **{"in_splits": "SELECT seed, id, y, n_chars, spaces, word_len, CASE split WHEN 'fit' THEN 'train' ELSE 'test' END AS split FROM docs_inner"},
-    in_train="SELECT seed, 'unbalanced' AS strategy, y, n_chars, spaces, word_len FROM in_splits WHERE split = 'train'",
+    **train_ctes("in", DOC_FEATURES),
     **gnb_ctes("in", DOC_FEATURES, "docs"),
 )
 
@@ -693,14 +722,99 @@ TUNE = dict(
     ),
 )
 def _(spark, sf):
-    n = len(SEEDS)
-    inner = S.inner_holdout(docs_splits(spark, sf, DOC_FEATURES), groups=GROUPS)
-    fit = B.balance(inner.filter(F.col("split") == "fit"), "none")
-    params = M.fit_gnb(fit, DOC_FEATURES, groups=n)
-    scored = M.score_gnb(inner.filter(F.col("split") == "valid"), params, DOC_FEATURES, "docs", groups=n)
+    fit, valid = inner_sides(spark, sf, DOC_FEATURES)
+    params = M.fit_gnb_copies(B.even_copies(fit, GROUPS), DOC_FEATURES, groups=GROUPS)
+    scored = M.score_gnb(valid, params, DOC_FEATURES, "docs", groups=GROUPS)
     return rounded(D.tune(scored, THRESHOLDS), "value")
 
 
+def inner_sides(spark: SparkSession, sf: str, features) -> tuple[DataFrame, DataFrame]:
+    inner = S.inner_holdout(docs_splits(spark, sf, features), groups=GROUPS)
+    return tuple(inner.filter(F.col("split") == side).drop("split") for side in ("fit", "valid"))
+
+
+COUNTS = (1, 2, 3)
+TUNE_K: dict[str, str] = {
+    **INNER,
+    "ik_splits": """SELECT i.seed, i.id, i.y, n_chars, spaces, word_len, digit_share, CASE i.split WHEN 'fit' THEN 'train' ELSE 'test' END AS split
+                    FROM docs_inner i JOIN (SELECT DISTINCT id, digit_share FROM docs) USING (id)""",
+}
+for k_ in COUNTS:
+    TUNE_K |= {**selected_ctes(f"k{k_}", "ik_splits", k_), **train_ctes(f"k{k_}", F4), **gnb_ctes(f"k{k_}", F4, "docs"), **metric_ctes(f"k{k_}")}
+
+
+@query(
+    "tune_features",
+    sql(
+        f"""WITH v AS ({' UNION ALL '.join(f"SELECT experiment, model, strategy, seed, {k} AS k, value FROM k{k}_metrics WHERE metric = 'f1'" for k in COUNTS)}),
+             b AS (SELECT *, row_number() OVER (PARTITION BY experiment, model, strategy, seed ORDER BY round(value, 9) DESC, k) AS rk FROM v)
+        SELECT experiment, model, strategy, seed, k, {r('value')} FROM b WHERE rk = 1""",
+        **TUNE_K,
+    ),
+)
+def _(spark, sf):
+    # How many features to keep, chosen on inner validation rows; selected anew on inner fit rows.
+    fit, valid = inner_sides(spark, sf, F4)
+    ranked = settle(D.fit_select(fit, F4, max(COUNTS)), max(COUNTS) * len(SEEDS))
+    copies = B.even_copies(fit, GROUPS)
+
+    def with_best(k: int) -> DataFrame:
+        best = ranked.filter(F.col("rank") <= k)
+        params = M.fit_gnb_copies(D.apply_select(copies, best, F4, groups=len(SEEDS)), F4, groups=GROUPS)
+        rows = D.apply_select(valid, best, F4, groups=len(SEEDS))
+        return M.score_gnb(rows, params, F4, "docs", groups=GROUPS).withColumn("k", F.lit(k))
+
+    return rounded(D.best_setting(reduce(DataFrame.unionByName, [with_best(k) for k in COUNTS]), "k"), "value")
+
+
+# --- a preserved run ---------------------------------------------------------------
+
+RUN_K = 3
+RUN = dict(
+    pf_fill=f"SELECT seed, {', '.join(f'avg({f}) AS f_{f}' for f in F4)} FROM docs_splits WHERE split = 'train' GROUP BY 1",
+    pf_rows=f"SELECT s.seed, id, y, split, {', '.join(f'coalesce({f}, f_{f}) AS {f}' for f in F4)} FROM docs_splits s JOIN pf_fill USING (seed)",
+    pf_z=f"SELECT seed, {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in F4)} FROM pf_rows WHERE split = 'train' GROUP BY 1",
+    pf_scaled=f"""SELECT seed, id, y, split, {', '.join(f'CASE WHEN s_{f} = 0 THEN 0 ELSE ({f} - m_{f}) / s_{f} END AS {f}' for f in F4)}
+                  FROM pf_rows JOIN pf_z USING (seed)""",
+    **selected_ctes("pr", "pf_scaled", RUN_K),
+    **train_ctes("pr", F4),
+    **gnb_ctes("pr", F4, "docs"),
+    **metric_ctes("pr"),
+)
+
+
+def docs_run(spark: SparkSession, sf: str) -> Run:
+    inputs = {t: table(spark, sf, t) for t in ("documents", "labels")}
+    return evaluate_run(docs(spark, sf), F4, "docs", new_path(spark, "run"), RUN_K, inputs=inputs)
+
+
+@query("evaluate_run", sql(f"SELECT experiment, model, strategy, seed, metric, {r('value')} FROM pr_metrics", **RUN))
+def _(spark, sf):
+    return rounded(docs_run(spark, sf).metrics, "value")
+
+
+@query(
+    "audit_run",
+    "SELECT unnest(['overlap', 'complete', 'test', 'balance', 'params', 'order', 'shares']) AS \"check\", 0::BIGINT AS n_violations",
+)
+def _(spark, sf):
+    return audit_summary(docs_run(spark, sf))
+
+
+@query(
+    "trace_run",
+    sql(
+        """SELECT concat_ws(':', experiment, model, strategy, seed, metric) AS claim_id, metric, strategy, experiment,
+                  'frac=0.2;impute=mean;scale=z;select=pearson:3' AS config, 'repeated_holdout' AS script, 'table ' || metric AS figure
+           FROM pr_metrics""",
+        **RUN,
+    ),
+)
+def _(spark, sf):
+    run = docs_run(spark, sf)
+    return L.trace(run.claims, run.provenance, run.manifest).drop("result_id", "input_fp")
+
+
 # --- E: balancing ------------------------------------------------------------------
 
 
@@ -842,7 +956,7 @@ def _(spark, sf):
     sided = S.freeze(ord_splits(spark, sf, ORDER_FEATURES), new_path(spark, "splits"))
     train, test = sides(sided)
     train_set = B.unbalanced_and_even(train, GROUPS)
-    pred = M.evaluate_ml(["logistic", "forest", "boosted"], train_set, test, SEEDS[:1], STRATEGIES, ORDER_FEATURES, "orders")
+    pred = M.evaluate_ml(["logistic", "forest", "boosted"], train_set, test, SEEDS, STRATEGIES, ORDER_FEATURES, "orders")
     return rounded(G.evaluate(pred), "value")
 
 
@@ -1024,8 +1138,7 @@ def _(spark, sf):
 
 @query("subgroups_orders", sql("SELECT * FROM ord_sub"))
 def _(spark, sf):
-    # The predictions alone are preserved here; attributes come back by an equi-join.
-    return J.subgroups(ord_pred(spark, sf), ["segment", "region"], cohort=orders_cohort(spark, sf))
+    return J.subgroups(ord_pred(spark, sf, ["segment", "region"]), ["segment", "region"])
 
 
 for measure_ in ("spd", "eod", "di"):
@@ -1111,7 +1224,10 @@ K_CTES = dict(
 
 def leaky_splits(spark: SparkSession, sf: str, keep=("source", "lang")) -> DataFrame:
     """Splits in which the test rows of one source were put into training as well."""
-    good = docs_splits(spark, sf, keep)
+    return leaky(docs_splits(spark, sf, keep))
+
+
+def leaky(good: DataFrame) -> DataFrame:
     twice = F.when((F.col("split") == "test") & F.expr(LEAKED), F.array(F.lit("test"), F.lit("train"))).otherwise(F.array("split"))
     return good.withColumn("split", F.explode(twice))
 
@@ -1133,7 +1249,7 @@ BOTH_SQL = """SELECT seed, {c}, count(*) FILTER (split = 'train') AS n_train, co
 @query("audit_entity", sql(BOTH_SQL.format(c="entity_id", src="SELECT s.seed, s.split, c.entity_id FROM ord_splits s JOIN orders_c c ON c.id = s.id")))
 def _(spark, sf):
     # A plain row split of orders, which does put customers on both sides.
-    return A.audit_entity(ord_splits(spark, sf), orders_cohort(spark, sf))
+    return A.audit_entity(ord_splits(spark, sf, ["entity_id"]), orders_cohort(spark, sf))
 
 
 @query(
@@ -1182,6 +1298,34 @@ def _(spark, sf):
     return A.audit_near(S.holdout(rows, SEEDS), rows, {}, texts=["text"])
 
 
+def similar_sql() -> str:
+    bands, rows, words = 10, 4, 5
+    least = [f"list_min([(x::HUGEINT * {a} + {b}) % {A.PRIME} FOR x IN xs])" for a, b in A.linear_hashes(bands * rows)]
+    parts = [f"'{i}:' || md5(concat_ws('|', {', '.join(least[i * rows:(i + 1) * rows])}))" for i in range(bands)]
+    return f"""
+      WITH p AS (SELECT doc_id AS id, trim(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS plain FROM documents),
+           w AS (SELECT id, string_split(plain, ' ') AS ws FROM p WHERE length(plain) > 0),
+           h AS (SELECT id, [('0x' || substr(md5(array_to_string(ws[i:i + {words - 1}], ' ')), 1, 7))::BIGINT
+                             FOR i IN range(1, greatest(len(ws) - {words - 1}, 1) + 1)] AS xs FROM w),
+           c AS (SELECT id, unnest([{', '.join(parts)}]) AS content FROM h)
+      SELECT s.seed, s.split, c.content FROM doc_all_splits s JOIN c ON c.id = s.id"""
+
+
+@query(
+    "audit_similar",
+    sql(
+        BOTH_SQL.format(c="content", src=similar_sql()),
+        doc_all="SELECT doc_id AS id, (lang = 'en')::INT AS y FROM documents",
+        **splits_ctes("doc_all", "doc_all", ""),
+    ),
+)
+def _(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("y"), "text"
+    )
+    return A.audit_similar(S.holdout(rows, SEEDS), rows, "text")
+
+
 @query(
     "audit_complete",
     sql(
@@ -1341,18 +1485,40 @@ def _(spark, sf):
         """SELECT 'overlap' AS "check", (SELECT count(*) FROM (SELECT seed, id FROM leaky_splits GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) t) AS n_violations
            UNION ALL SELECT 'entity', (SELECT count(*) FROM (SELECT s.seed, c.entity_id FROM docs_splits s JOIN docs c ON c.id = s.id
                                        GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) t)
+           UNION ALL SELECT 'copies', (SELECT count(*) FROM (SELECT s.seed, d.text FROM docs_splits s JOIN documents d ON d.doc_id = s.id
+                                       GROUP BY 1, 2 HAVING count(DISTINCT split) > 1) t)
+           UNION ALL SELECT 'near', (SELECT count(*) FROM (""" + BOTH_SQL.format(c="content", src=NEAR_SQL) + """) t)
            UNION ALL SELECT 'complete', 0
+           UNION ALL SELECT 'test', 0
            UNION ALL SELECT 'shares', 0
-           UNION ALL SELECT 'balance', 0""",
+           UNION ALL SELECT 'balance', 0
+           UNION ALL SELECT 'params', (SELECT count(*) FROM (""" + params_sql().strip() + """) t)
+           UNION ALL SELECT 'order', 0""",
         **K_CTES,
     ),
 )
 def _(spark, sf):
-    good = docs_splits(spark, sf)
     cohort = docs(spark, sf)
+    good = S.freeze(S.holdout(cohort, SEEDS, keep=[*DOC_FEATURES, "lang", "source", "entity_id"]), new_path(spark, "splits"))
+    train, test = sides(good)
+    right, full = _doc_params(train), _doc_params(good)
+    stored = right.filter("feature <> 'n_chars'").unionByName(full.filter("feature = 'n_chars'"))
+    log = spark.range(len(SEEDS) * len(A.STEPS)).select(
+        F.lit("docs").alias("experiment"),
+        (F.col("id") % len(SEEDS) + 1).cast("int").alias("seed"),
+        F.element_at(F.array(*[F.lit(s) for s in A.STEPS]), (F.floor(F.col("id") / len(SEEDS)) + 1).cast("int")).alias("step"),
+        F.col("id").cast("int").alias("step_no"),
+        F.timestamp_seconds(F.col("id")).alias("at"),
+    )
     checks = {
-        "overlap": A.audit_overlap(leaky_splits(spark, sf)),
+        "overlap": A.audit_overlap(leaky(good)),
         "entity": A.audit_entity(good, cohort),
+        # The entity of a document is the digest of its text.
+        "copies": A.audit_copies(good, cohort, ["entity_id"]),
+        "near": A.audit_near(good, cohort, {"n_chars": 40, "word_len": 0.5}, exact=["lang"]),
+        "test": A.audit_test(test, cohort, ["y", *DOC_FEATURES]),
+        "params": A.audit_params(stored, right, full),
+        "order": A.audit_order(log),
         "complete": A.audit_complete(good, cohort, SEEDS),
         "shares": A.audit_shares(good),
         "balance": A.audit_balance(B.unbalanced_and_even(sides(good)[0], GROUPS), good),

@@ -68,9 +68,7 @@ def save_model(model, meta: Mapping[str, str], path: str) -> str:
 
     Returns the model path; the registry under `path` gains one row.
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()  # the active session is not known to other threads
     target = f"{path}/models/{meta['experiment']}-{meta['model']}-{meta['strategy']}-{meta['seed']}"
     model.write().save(target)
     row = {**{k: str(v) for k, v in meta.items()}, "path": target, "spark_version": spark.version}
