@@ -197,18 +197,20 @@ def _(spark, sf):
 
     def fit(cell):
         kind, seed = cell
-        meta = {
-            "experiment": "docs", "model": kind, "strategy": "unbalanced", "seed": seed,
-            "config": "frac=0.2", "preprocessing": "mean fill, fitted on training rows",
-        }
-        sinks.save_model(M.fit_ml(kind, train.filter(F.col("seed") == seed), seed, DOC_FEATURES), meta, path)
+        return M.fit_ml(kind, train.filter(F.col("seed") == seed), seed, DOC_FEATURES)
 
     def score(row):
         part = test.filter(F.col("seed") == int(row["seed"]))
         return M.score_ml(sinks.load_model(row["path"]), part, DOC_FEATURES, "docs", row["model"], row["strategy"])
 
     with ThreadPoolExecutor(4) as pool:  # one cell is a model, not a part of the rows
-        list(pool.map(fit, cells))
+        models = list(pool.map(fit, cells))
+        for (kind, seed), model in zip(cells, models):  # one writer at a time for the registry
+            meta = {
+                "experiment": "docs", "model": kind, "strategy": "unbalanced", "seed": seed,
+                "config": "frac=0.2", "preprocessing": "mean fill, fitted on training rows",
+            }
+            sinks.save_model(model, meta, path)
         scored = list(pool.map(score, sinks.model_registry(spark, path).collect()))
     return G.confusion(reduce(DataFrame.unionByName, scored))
 
