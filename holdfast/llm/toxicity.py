@@ -19,6 +19,7 @@ SAMPLE = 12_000  # labelled rows that the classifier is fitted on, at most
 FEATURES = 4_000  # word forms that the classifier keeps, at most
 LEAST_Z = 2.72  # a form's log odds ratio in its standard errors
 LEAST_ODDS = 3.0  # and the log odds ratio itself
+PRIOR = 0.05  # share of y = 1 that one row's worth of belief holds before any label
 
 # What a sign may stand for.
 LEET = {
@@ -66,7 +67,6 @@ def suspect(text: str) -> bool:
     return bool((~one[:-4] & one[1:-3] & join[2:-2] & one[3:-1] & join[4:]).any())
 
 
-
 def count_trigrams(texts: list[str]) -> np.ndarray:
     """How often each three characters of the model's alphabet follow each other."""
     total = np.zeros(K**3, dtype=np.int64)
@@ -213,7 +213,7 @@ class Lexicon:
         """Ridge logistic regression by Newton steps; without both classes the base rate."""
         full = np.c_[np.ones(len(x)), x]
         w = np.zeros(full.shape[1])
-        rate = (y.sum() + 0.5) / (len(y) + 1)
+        rate = (y.sum() + PRIOR) / (len(y) + 1)
         w[0] = math.log(rate / (1 - rate))
         if 0 < y.sum() < len(y):
             penalty = np.diag([0.0] + [ridge] * x.shape[1])
@@ -294,8 +294,9 @@ def toxicity(cohort: DataFrame, targets: DataFrame, least: float = 0.3, id: str
 
     Null and empty texts are scored as texts without hits. Null ids and repeated ids give a
     row each; a null y or an id without text teaches nothing; of several y of an id the
-    largest holds. Without both classes every text gets the base rate. An empty cohort gives
-    no rows. Texts are read whole, in any language.
+    largest holds. Without both classes every text gets the base rate, without any training
+    row PRIOR, so that nothing is rejected. An empty cohort gives no rows. Texts are read
+    whole, in any language.
     """
     ship(cohort.sparkSession)
     model = fit_characters(cohort, text)
