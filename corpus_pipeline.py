@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from holdfast.llm.common import WORD, keep
+from holdfast.llm.common import keep
 from holdfast.llm.leaks import without_leaks
 from holdfast.llm.mixing import mix_strata
 from holdfast.llm.queries import quality_weights, training_targets
 from holdfast.llm.sharding import shard_rows
-from holdfast.llm.simhash import near_copies
+from holdfast.llm.simhash import without_near_copies
 from holdfast.llm.toxicity import toxicity
 
 
@@ -25,16 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
-
-    Of rows that share that id the first text in code point order stays. Groups without any
-    id keep one document in the same way.
-    """
-    groups = near_copies(docs, id="doc_id")
-    heads = groups.where("id <=> entity_id").select("id", "fp").distinct()
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy(F.col("text").asc_nulls_last(), "source", "lang")
-    kept = docs.join(heads.select(F.col("id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    """Of each group of near copies the document with the smallest id."""
+    return without_near_copies(docs, id="doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +38,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one at a source's edge is cut to the words taken, joined by single spaces.
     """
-    mixed = mix_strata(docs, quality_weights(spark, sf_dir), id="doc_id", stratum="source", carry=True).where("_taken > 0")
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    part = F.least(F.col("_size"), F.col("_taken") - F.col("_nth") * F.col("_size"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.col("_part")), " ")
-    rows = mixed.withColumn("_nth", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("_part", part.cast("int"))
-    text = F.when(F.col("_part") < F.col("_size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    mixed = mix_strata(docs, quality_weights(spark, sf_dir), id="doc_id", stratum="source", carry=True).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = mixed.withColumn("nth", F.explode(F.sequence(F.lit(0), copies - 1)))
+    part = F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size"))
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, 1, part.cast("int")), " ")
+    text = F.when(part < F.col("size"), cut).otherwise(F.col("row.text"))
+    rows = rows.withColumn("row", F.col("row").withField("text", text))
+    return rows.withColumn("row", F.col("row").withField("n_chars", F.char_length("row.text").cast("long"))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

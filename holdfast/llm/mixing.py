@@ -53,8 +53,8 @@ def mix_strata(
     stratum: str = "stratum",
     carry: bool = False,
 ) -> DataFrame:
-    """(id, size, source_size, target, taken), one row per cohort row; with `carry` the
-    cohort's columns and `_taken`, `_size` instead.
+    """(id, size, source_size, target, taken), one row per cohort row; with `carry` instead
+    (row, size, taken), `row` holding the cohort's columns.
 
     A row's size is the number of its words. Each stratum gets a target (`stratum_targets`)
     and is taken whole as often as the target holds it; the rest is drawn by
@@ -107,5 +107,5 @@ def mix_strata(
         .withColumn("taken", F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_need") - F.col("_until"))))
     )
     if carry:
-        return out.select("_row.*", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+        return out.select(F.col("_row").alias("row"), "size", "taken")
     return out.select("id", "size", "source_size", "target", "taken")

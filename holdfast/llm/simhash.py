@@ -38,10 +38,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(cohort: DataFrame, id: str = "id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per cohort row; words are parted by ASCII white space, A-Z lower-cased."""
+    """(id, digest, fp): one row per cohort row; words are parted by ASCII white space, A-Z
+    lower-cased. `digest` is a 64-bit hash of the text as it is."""
 
     rows = cohort.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    return judged(rows, "text", lambda texts: [fingerprint(t, shingle) for t in texts], "bigint", pa.int64()).select("row.id", F.col("value").alias("fp"))
+    found = judged(rows, "text", lambda texts: [fingerprint(t, shingle) for t in texts], "bigint", pa.int64())
+    return found.select("row.id", F.xxhash64("row.text").alias("digest"), F.col("value").alias("fp"))
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -167,6 +169,17 @@ def fingerprint_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _grouped(cohort: DataFrame, budget: int, shingle: int, id: str, text: str) -> DataFrame:
+    """(id, digest, fp, root, entity_id), one row per cohort row; `root` tells groups apart."""
+    prints = keep(fingerprints(cohort, id, text, shingle), "fingerprints")
+    fps = keep(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    roots = components(fingerprint_links(fps, budget))
+    node = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    low = node.groupBy("root").agg(F.min("low").alias("entity_id"))
+    named = keep(node.join(low, "root").select(F.col("fp").alias("_fp"), "root", "entity_id"), "entities")
+    return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
 def near_copies(cohort: DataFrame, budget: int = 3, shingle: int = 3, id: str = "id", text: str = "text") -> DataFrame:
     """(id, fp, entity_id), one row per cohort row: near copies are one entity.
 
@@ -178,10 +191,25 @@ def near_copies(cohort: DataFrame, budget: int = 3, shingle: int = 3, id: str =
 
     Rows with equal fingerprints are one node, so copies cost one row however many they are.
     """
-    prints = keep(fingerprints(cohort, id, text, shingle), "fingerprints")
-    fps = keep(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    roots = components(fingerprint_links(fps, budget))
-    node = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = node.groupBy("root").agg(F.min("low").alias("entity_id"))
-    named = keep(node.join(low, "root").select(F.col("fp").alias("_fp"), "entity_id"), "entities")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "entity_id")
+    return _grouped(cohort, budget, shingle, id, text).select("id", "fp", "entity_id")
+
+
+def without_near_copies(cohort: DataFrame, budget: int = 3, shingle: int = 3, id: str = "id", text: str = "text") -> DataFrame:
+    """The cohort's rows, all columns, one row of each group of `near_copies`.
+
+    It is the row with the smallest id, null ids last. Of rows that share that id within the
+    group the text with the smallest digest stays, of rows that share the text as well the
+    one whose other columns come first. An id repeated in several groups is judged in each.
+    An empty cohort gives no rows.
+    """
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias("_id")
+    heads = (
+        _grouped(cohort, budget, shingle, id, text).where("id <=> entity_id")
+        .groupBy("root", "id").agg(F.min("digest").alias("_digest")).select(named(F.col("id")), "_digest")
+    )
+    whole = cohort.select(
+        F.struct(*[F.col(f"`{c}`") for c in cohort.columns]).alias("row"), named(F.col(id)), F.xxhash64(F.col(text).cast("string")).alias("_digest")
+    )
+    others = [F.col(f"row.`{c}`") for c, kind in cohort.dtypes if c not in (id, text) and "map<" not in kind and "variant" not in kind]
+    one = whole.join(heads, ["_id", "_digest"], "left_semi").groupBy("_id", "_digest").agg(F.min_by("row", F.struct(F.lit(0), *others)).alias("row"))
+    return one.select("row.*")

@@ -73,6 +73,8 @@ def test_toxicity_sees_through_disguises(make):
     kept = toxicity(cohort, frame, carry=True)
     assert kept.columns == cohort.columns and kept.count() == 300 + 5
     assert toxicity(cohort.where("false"), frame).collect() == []
+    untaught = toxicity(cohort, frame.where("false")).collect()
+    assert len(untaught) == len(rows + more) and {r.predicted for r in untaught} == {0}
     flat = toxicity(cohort, frame.where("y = 0")).collect()
     assert len(flat) == len(rows + more) and len({round(r.score, 9) for r in flat}) == 1
 
@@ -109,7 +111,8 @@ def test_mix(make, odd, none):
     assert all(abs(sum(v) - target) <= 0.5 for (_, target), v in by.items())
     assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6 and all(t <= 2 * s + 1e-9 for s, t in by)
     assert mix_strata(odd).count() == odd.count() and mix_strata(none).collect() == []
-    assert mix_strata(odd, carry=True).columns == [*odd.columns, "_taken", "_size"]
+    carried = mix_strata(odd, carry=True)
+    assert carried.columns == ["row", "size", "taken"] and carried.select("row.*").columns == odd.columns
 
 
 def test_heavier_rows_come_first(make):
