@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from holdfast.llm.common import judged
 
 TOKEN = re.compile(r"[^\W_]+")
-# Which tokens of a window a mask reads (1) and which it ignores (0).
-MASKS = ("111011011", "110110111", "101101111")
-SPAN = 9
+# Which tokens of a window a mask reads (1) and which it ignores (0). Of SPAN or
+# more tokens, a fifth at most different, four in a row are equal, or else they are 15 tokens in
+# equal runs of 3 3 3 3, 11 in 3 3 3, or 10 in 3 3 2, 2 3 3 or 3 2 3: a mask reads each of them.
+MASKS = ("1111", "1110111", "1110110111")
+SPAN = 9  # tokens of the shortest item that may differ
+LAID = 1_000_000  # tokens laid over each other at a time
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 22
 BLOCK_BYTES = 8_000_000  # UTF-8 bytes of test items that one pass carries
@@ -29,7 +33,7 @@ def tokens(text: str | None) -> list[str]:
 
 def _seeds(codes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the tokens that the mask reads, for every window start; 0 where one is unknown."""
-    n = len(codes) - SPAN + 1
+    n = max(0, len(codes) - len(mask) + 1)
     total, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
     with np.errstate(over="ignore"):
         for at, bit in enumerate(mask):
@@ -45,7 +49,10 @@ class SeedIndex:
     """The seeds of some test items, and what verification needs of them."""
 
     def __init__(self, items: list[tuple[object, str | None]], least_tokens: int, least_share: float):
-        self.least_tokens, self.least_share = least_tokens, least_share
+        self.least_tokens = least_tokens
+        share = Fraction(least_share).limit_denominator(1_000)
+        # what an equal token earns and another one costs, so that a stretch of least_share sums up to 0 or more
+        self.earn, self.cost = share.denominator - share.numerator, share.numerator
         self.ids, self.code, rows = [], {}, []
         for ident, text in items:
             words = tokens(text)
@@ -53,6 +60,9 @@ class SeedIndex:
                 self.ids.append(ident)
                 rows.append(np.array([self.code.setdefault(w, len(self.code) + 1) for w in words], dtype=np.int64))
         self.rows = rows
+        self.size = np.array([len(r) for r in rows], dtype=np.int64)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.size) - self.size
         seeds, item, at = [], [], []
         self.short: dict[tuple, list[int]] = {}
         for k, codes in enumerate(rows):
@@ -77,9 +87,9 @@ class SeedIndex:
         """(item, first token, tokens, equal tokens) of each overlap of a whole text.
 
         Every hit names a diagonal (item, shift). On it, item and text are laid over each
-        other; the stretch with the most equal tokens, a substitution costing as much as four
-        equal tokens earn, is the overlap. It counts with `least_tokens` tokens, or
-        the whole item where that is shorter, of which `least_share` are equal.
+        other; the longest stretch that begins and ends with an equal token, and of which
+        `least_share` are equal, is the overlap. It counts with `least_tokens` tokens, or
+        the whole item where that is shorter.
         """
         words = tokens(text)
         get = self.code.get
@@ -94,8 +104,7 @@ class SeedIndex:
                     for k in self.short.get(tuple(codes[s : s + n].tolist()), ()):
                         out.append((k, int(s), n, n))
         if len(codes) >= SPAN and len(self.seed):
-            diagonals: set[tuple[int, int]] = set()
-            unsigned = codes.astype(np.uint64)
+            unsigned, hits = codes.astype(np.uint64), []
             for mask in MASKS:
                 h = _seeds(unsigned, mask)
                 some = np.flatnonzero(h)
@@ -103,18 +112,30 @@ class SeedIndex:
                 may = self.slot[(h % np.uint64(SLOTS)).astype(np.int64)]
                 some, h = some[may], h[may]
                 lo, hi = np.searchsorted(self.seed, h, "left"), np.searchsorted(self.seed, h, "right")
-                for s, a, b in zip(some.tolist(), lo.tolist(), hi.tolist()):
-                    diagonals.update((int(self.item[x]), s - int(self.at[x])) for x in range(a, b))
-            for k, shift in sorted(diagonals):
+                at = _ranges(lo, hi - lo)
+                hits.append(np.unique(self.item[at] << 32 | np.repeat(some, hi - lo) - self.at[at] + (1 << 31)))
+            for k, shift in self._likely(np.unique(np.concatenate(hits)), codes):
                 item = self.rows[k]
                 lo, hi = max(0, -shift), min(len(item), len(codes) - shift)
                 equal = item[lo:hi] == codes[lo + shift : hi + shift]
-                a, b = _best(equal)
-                size, same = b - a, int(equal[a:b].sum())
-                if size >= min(self.least_tokens, len(item)) and same >= self.least_share * size:
-                    out.append((k, lo + shift + a, size, same))
+                a, b = _longest(equal, self.earn, self.cost)
+                if b - a >= min(self.least_tokens, len(item)):
+                    out.append((k, lo + shift + a, b - a, int(equal[a:b].sum())))
         return out
 
+    def _likely(self, hits: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The diagonals (item, shift) with as many equal tokens as the shortest overlap has."""
+        item, shift = hits >> 32, (hits & 0xFFFFFFFF) - (1 << 31)
+        lo = np.maximum(0, -shift)
+        size = np.minimum(self.size[item], len(codes) - shift) - lo
+        least = np.minimum(self.least_tokens, self.size[item]) * self.cost
+        part = np.cumsum(size) // LAID
+        for x in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(part)) + 1):
+            if len(x):
+                over = _ranges(self.first[item[x]] + lo[x], size[x]), _ranges(shift[x] + lo[x], size[x])
+                same = np.add.reduceat((self.flat[over[0]] == codes[over[1]]).astype(np.int64), np.cumsum(size[x]) - size[x])
+                for i in x[same * (self.earn + self.cost) >= least[x]].tolist():
+                    yield int(item[i]), int(shift[i])
 
     def longest(self, texts: list[str | None]) -> list[list[dict]]:
         """(item id, start, tokens, equal tokens) of each text's best overlap with each item."""
@@ -122,7 +143,7 @@ class SeedIndex:
         for text in texts:
             best: dict[int, tuple[int, int, int]] = {}
             for k, start, size, same in self.find(text):
-                if k not in best or (-same, start) < (-best[k][2], best[k][0]):
+                if k not in best or (-size, -same, start) < (-best[k][1], -best[k][2], best[k][0]):
                     best[k] = (start, size, same)
             out.append([{"item_id": self.ids[k], "start": a, "n_tokens": b, "n_equal": c} for k, (a, b, c) in best.items()])
         return out
@@ -132,12 +153,20 @@ def _salt(mask: str) -> np.uint64:
     return np.uint64(int(mask, 2) << 40)
 
 
-def _best(equal: np.ndarray) -> tuple[int, int]:
-    """Stretch of the largest sum with +1 for an equal token and -4 for another one."""
-    run = np.r_[0, np.cumsum(np.where(equal, 1, -4))]
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    return int(np.flatnonzero(run[: end + 1] == low[end])[-1]), end
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers lo to lo + size - 1 of each range in turn."""
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _longest(equal: np.ndarray, earn: int, cost: int) -> tuple[int, int]:
+    """Longest stretch from an equal token to an equal token that sums up to 0 or more; of
+    equally long ones that with the most equal tokens, then the first."""
+    run = np.r_[0, np.cumsum(np.where(equal, earn, -cost))]
+    at = np.flatnonzero(equal)
+    # the first start that is not above an end, by the lowest start so far
+    first = at[np.searchsorted(-np.minimum.accumulate(run[at]), -run[at + 1])]
+    end = np.lexsort((run[first] - run[at + 1], first - at))[0]
+    return int(first[end]), int(at[end]) + 1
 
 
 def _indexes(items: DataFrame, id: str, text: str, least_tokens: int, least_share: float) -> Iterator[SeedIndex]:
@@ -156,12 +185,13 @@ def leaked_overlaps(
     """(id, item_id, start, n_tokens, n_equal), one row per overlap of a row with a test item.
 
     A leak of the test side into a cohort. Tokens are runs of letters and digits,
-    lower-cased. Masks over SPAN tokens ignore some positions; text and item share a hash
+    lower-cased. Masks over a few tokens ignore some positions; text and item share a hash
     wherever they agree on the others. Each hit is verified on its diagonal, so that
-    substituted tokens are tolerated: an overlap counts with `least_tokens` tokens (or the
-    whole item if shorter) of which `least_share` are equal. Items of fewer than SPAN tokens
-    are found whole and unchanged only. Of the overlaps of one row with one item the longest
-    is given, the first of equal ones.
+    substituted tokens are tolerated: an overlap begins and ends with an equal token and counts
+    with `least_tokens` tokens (or the whole item if shorter) of which `least_share` are equal.
+    With SPAN `least_tokens` and a share of 0.8 or more every overlap has a hit. Items of fewer
+    than SPAN tokens are found whole and unchanged only. Of the overlaps of one row with one
+    item the longest is given, of these the one with the most equal tokens, then the first.
 
     Null, empty and token-free texts and items overlap with nothing. Null ids are carried,
     repeated rows give a row each, equal items are reported under each of their ids. Other

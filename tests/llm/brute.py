@@ -78,3 +78,17 @@ def jump(key, shards):
         key = (key * 2862933555777941757 + 1) % 2**64
         j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
     return b
+
+
+def overlaps(items, text, least=12):
+    """(item, start, tokens, equal) of the longest overlap with each item, a fifth of it different at most."""
+    out = set()
+    for k, item in enumerate(items):
+        found = []
+        for shift in range(1 - len(item), len(text)):
+            at = [i for i in range(max(0, -shift), min(len(item), len(text) - shift)) if item[i] == text[i + shift]]
+            found += [(b - a + 1, j - i + 1, -a - shift) for i, a in enumerate(at) for j, b in enumerate(at) if j >= i and 5 * (j - i + 1) >= 4 * (b - a + 1)]
+        size, same, start = max(found, default=(0, 0, 0))
+        if size >= min(least, len(item)):
+            out.add((k, -start, size, same))
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.hosts import filter_urls
 from holdfast.llm.html import extract_text, main_text
-from holdfast.llm.leaks import leaked_overlaps, without_leaks
+from holdfast.llm.leaks import SeedIndex, leaked_overlaps, without_leaks
 from holdfast.llm.mixing import mix_strata
 from holdfast.llm.sharding import jump, shard_rows
 from holdfast.llm.toxicity import CharacterModel, count_trigrams, toxicity
@@ -143,6 +143,20 @@ def test_leaks(make, odd, none):
     assert without_leaks(odd, items.where("false"), item_id="item_id").count() == odd.count()
 
 
+def test_substituted_items_equal_brute_force():
+    draw = np.random.default_rng(5)
+    sixteen = [f"t{i}" for i in range(16)]
+    index = SeedIndex([(1, " ".join(sixteen))], 12, 0.8)
+    assert index.find(" ".join("x" if i in (5, 11) else w for i, w in enumerate(sixteen))) == [(0, 0, 16, 14)]
+    for n in (9, 10, 11, *range(12, 61, 3)):
+        items = [[f"w{i}" for i in draw.integers(0, 400, n)] for _ in range(12)]
+        index = SeedIndex([(k, " ".join(w)) for k, w in enumerate(items)], 12, 0.8)
+        for k, words in enumerate(items):
+            spots = set(draw.choice(n, min(n // 5 + k % 2, n), replace=False).tolist())
+            text = ["other"] * (k % 3) + [f"s{i}" if i in spots else w for i, w in enumerate(words)] + ["end"] * (k % 2)
+            assert {(x["item_id"], x["start"], x["n_tokens"], x["n_equal"]) for x in index.longest([" ".join(text)])[0]} == brute.overlaps(items, text), (n, spots)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site name of the paper</h1></header><nav><ul><li><a href=/a>the one</a><li><a href=/b>and two</a></ul></nav><div class="cookie-notice">We use cookies and the law says that it is for you.</div>
 <!-- a > b <p>hidden</p> --><article><h1>Short title</h1><p>The first paragraph of the article, with <b>bold</b> words &amp; &eacute;ntities &lt;that are&gt; kept,
