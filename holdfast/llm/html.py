@@ -21,7 +21,7 @@ STOP_WORDS = frozenset(
 
 # Elements of HTML by role.
 HIDDEN = frozenset("script style noscript template iframe object svg canvas head title textarea select option datalist".split())
-FURNITURE = frozenset("nav header footer aside form button menu dialog figure".split())
+FURNITURE = frozenset("nav header footer aside form button menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -150,22 +150,19 @@ def main_text(page: str | None) -> str:
     """The page's article: its good blocks in page order, joined by single spaces.
 
     The second pass lets an undecided block inherit from its nearest decided neighbours: of
-    the same article or main element where it stands in one, else of the page outside such
-    elements. Two that agree decide; of two that differ the nearer one does, good winning a
+    the same article or main element where it stands in one, else of the whole page. Two that agree decide; of two that differ the nearer one does, good winning a
     draw for a near-good block. Inside an article a block is bad only by its links or its
-    marking, and blocks without a decided neighbour are good. On a page with an article,
-    blocks outside of one need good neighbours on both sides.
+    marking, and blocks without a decided neighbour are good. On a page with an article that
+    holds a good block, undecided blocks outside of one need good neighbours on both sides.
     """
     found = blocks(page or "")
-    has_main = any(b[2] for b in found)
     first = []
     for text, linked, article, furniture, _ in found:
         kind = decide(text, linked, furniture)
         if article and kind == "bad" and not furniture and linked <= LINKED * len(text):
             kind = "near"
-        if not article and has_main:
-            kind = "bad"
         first.append(kind)
+    has_main = any(b[2] and kind == "good" for b, kind in zip(found, first))
     n = len(found)
     before, after = [None] * n, [None] * n
     for order, to in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -174,7 +171,7 @@ def main_text(page: str | None) -> str:
             article = found[i][2]
             to[i] = last.get(article)
             if first[i] in ("good", "bad") and not (article and first[i] == "bad"):
-                last[article] = (first[i], i)
+                last[article] = last[0] = (first[i], i)
     kept = []
     for i, (text, _, article, _, heading) in enumerate(found):
         kind = first[i]
@@ -182,6 +179,8 @@ def main_text(page: str | None) -> str:
             a, b = before[i], after[i]
             if article and not a and not b:
                 kind = "good"
+            elif not article and has_main:
+                kind = "good" if a and b and a[0] == b[0] == "good" else "bad"
             elif a and b and a[0] != b[0]:
                 gap = (i - a[1]) - (b[1] - i)
                 kind = a[0] if gap < 0 else b[0] if gap > 0 else "good" if kind == "near" else "bad"

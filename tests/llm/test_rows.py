@@ -176,6 +176,18 @@ def test_main_text():
     assert main_text(f"<div>{prose * 2}</div><p>Short bit.</p><div>{prose}</div><div><a>the link</a> <a>and one more of it</a></div>") == f"{(prose * 2).strip()} Short bit. {prose.strip()}"
 
 
+def test_text_outside_of_articles():
+    prose = "The text of a page that has an article is found by the share of words that are in the list of stop words."
+    menu, foot = "<nav><a>the one</a></nav>", "<footer>the paper and all of its people</footer>"
+    teaser = f"<article><h3>Other</h3><p>{prose}</p></article>"
+    for box in ("<aside>{}</aside>", '<div class="related-posts">{}</div>'):
+        assert main_text(f"{menu}<div>{prose}</div><p>Short bit.</p><div>{prose}</div>{box.format(teaser)}{foot}") == f"{prose} Short bit. {prose}"
+    lead, rest = f"Lead: {prose}", f"Rest: {prose}"
+    page = f"{menu}<p>Top line.</p><p>{lead}</p><article><p>{prose}</p></article><p>Small part.</p><div>{rest}</div><p>Last line.</p>{foot}"
+    assert main_text(page) == f"{lead} {prose} Small part. {rest}"
+    assert main_text(f"<article><p>{prose}</p><figure><img src=a><figcaption>A small river.</figcaption></figure><p>{prose}</p></article>") == f"{prose} A small river. {prose}"
+
+
 def test_extract_text(make):
     pages = make([(1, "u", PAGE, "t"), (None, None, None, "t"), (1, "u", PAGE, "t"), (2, "v", "<p>" * 3000 + "x" * 200_000, "t")], "id bigint, url string, html string, text string")
     got = extract_text(pages).collect()
