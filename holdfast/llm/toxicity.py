@@ -38,33 +38,51 @@ WORDS = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SINGLES = re.compile(r"(?:[\w@$!|+€(][.\-_*]){2,}[\w@$!|+€(]\W*")
 SIGNS = frozenset(LEET)
-END = ".,;:!?#%&*$\"')]"
-
-# Classes of characters for a first look at a text.
-SPACE, JOIN, SIGN, LETTER = 1, 2, 3, 4
-_CLASS = np.full(0x251, LETTER, dtype=np.uint8)
-_CLASS[[c for c in range(0x250) if not chr(c).isalpha()]] = 0
-_CLASS[[c for c in range(0x250) if chr(c).isspace()]] = SPACE
+# Punctuation before a word, the word, punctuation behind it; "!" and "$$$" behind are no signs.
+EDGES = re.compile(r"((?:[^\w@$!|+€(]|_)*)(.*?)((?:[^\w@$|+€(]|_|\${3,})*)", re.S)
+
+# Classes of characters for a first look at a text; SOFT signs may also stand around a character.
+SPACE, JOIN, SOFT, SIGN, LETTER = 1, 2, 3, 4, 5
+_CLASS = np.zeros(0x10000, dtype=np.uint8)
+_CLASS[[c for c in range(0x10000) if chr(c).isalpha()]] = LETTER
+_CLASS[[c for c in range(0x10000) if chr(c).isspace()]] = SPACE
 _CLASS[[ord(c) for c in ".-_*"]] = JOIN
-_CLASS[[ord(c) for c in SIGNS if ord(c) < 0x250]] = SIGN
+_CLASS[[ord(c) for c in SIGNS]] = SIGN
+_CLASS[[ord(c) for c in "!("]] = SOFT
 
 
 def suspect(text: str) -> bool:
-    """Is there a letter beside a sign, a letter three times, or three single characters in a
-    row, parted by spaces or joining signs?"""
+    """Is there anything that `restore` may decode: a letter beside a sign, a letter three times,
+    three single characters in a row, whatever white space parts them and punctuation stands
+    around them, or three parted by joining signs?"""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     if len(codes) < 3:
         return False
-    kind = np.r_[SPACE, _CLASS[np.minimum(codes, 0x250)], SPACE, SPACE].astype(np.uint8)
-    letter, sign, space, join = kind == LETTER, kind == SIGN, kind == SPACE, kind == JOIN
-    if (letter[1:] & sign[:-1]).any() or (letter[:-1] & sign[1:]).any():
+    if codes.max() >= len(_CLASS):
         return True
-    if (letter[1:-4] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])).any():
+    kind = np.full(len(codes) + 2, SPACE, dtype=np.uint8)
+    kind[1:-1] = _CLASS.take(codes)
+    letter, sign, space, join = kind == LETTER, (kind == SIGN) | (kind == SOFT), kind == SPACE, kind == JOIN
+    if (letter[1:] & sign[:-1]).any() or (letter[:-1] & sign[1:]).any():
         return True
-    one = ~space & ~join
-    if len(kind) > 6 and (space[:-6] & one[1:-5] & space[2:-4] & one[3:-3] & space[4:-2] & one[5:-1] & space[6:]).any():
+    same = codes[1:] == codes[:-1]
+    if (same[1:] & same[:-1] & letter[1:-3]).any():
         return True
-    return bool((~one[:-4] & one[1:-3] & join[2:-2] & one[3:-1] & join[4:]).any())
+    if (join[:-2] & join[2:]).any():
+        one = ~space & ~join
+        one[1:-1] |= codes == ord("_")
+        if (one[:-4] & join[1:-3] & one[2:-2] & join[3:-1] & one[4:]).any():
+            return True
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.append(start[1:], len(kind))
+    total = np.zeros(len(kind) + 1, dtype=np.int32)
+    np.cumsum(kind >= SIGN, dtype=np.int32, out=total[1:])
+    single = total[ends] - total[start] <= 1
+    if not (single[:-2] & single[1:-1] & single[2:]).any():
+        return False
+    np.cumsum(kind >= SOFT, dtype=np.int32, out=total[1:])
+    single &= total[ends] > total[start]
+    return bool((single[:-2] & single[1:-1] & single[2:]).any())
 
 
 def count_trigrams(texts: list[str]) -> np.ndarray:
@@ -99,7 +117,7 @@ class CharacterModel:
     def decode(self, span: str) -> str:
         """The likeliest text behind a disguised span, by Viterbi over its character lattice.
 
-        Each run of one letter may stand for one or two of it, each sign for the letters it
+        Each run of one letter may stand for one or two of it, "(" at the front for itself, each sign for the letters it
         resembles or for itself, each separator between single characters for nothing or for
         a word boundary. A state is the last two characters.
         """
@@ -134,36 +152,56 @@ class CharacterModel:
         if not suspect(text):
             return text
         out, single, known = [], [], self._words
+        lead = ""
         for word in text.split():
-            if len(word) == 1 and (word.isalpha() or word in SIGNS):
-                single.append(word)
+            head, core, tail = ("", word, "") if len(word) == 1 else _edges(word)
+            if len(core) == 1 and (core.isalpha() or core in SIGNS):
+                if head and single:
+                    out.extend(self._singles(single, lead))
+                    single = []
+                lead = lead if single else head
+                single.append(core)
+                if tail:
+                    out.extend(self._singles(single, lead, tail))
+                    single = []
                 continue
             if single:
-                out.extend(self._singles(single))
+                out.extend(self._singles(single, lead))
                 single = []
             out.append(known.get(word) or self._word(word))
-        return " ".join([*out, *self._singles(single)])
+        return " ".join([*out, *self._singles(single, lead)])
 
-    def _singles(self, single: list[str]) -> list[str]:
-        return [self.decode(" ".join(single))] if len(single) > 2 and len(set(single)) > 1 else single
+    def _singles(self, single: list[str], lead: str = "", tail: str = "") -> list[str]:
+        done = [self.decode(" ".join(single))] if len(single) > 2 and len(set(single)) > 1 else single
+        return [lead + " ".join(done) + tail] if single else []
 
     def _word(self, word: str) -> str:
-        done, core = word, word.rstrip(END)
-        if len(word) - len(core) == 2 and word.endswith("$$"):
-            core = word
+        head, core, tail = _edges(word)
+        done = word
         if core.isalpha():
             if TRIPLE.search(core):
-                done = self.decode(core) + word[len(core) :]
-        elif SINGLES.fullmatch(word) and any(c.isalpha() for c in word):
-            done = self.decode(word)
-        elif _disguised(core):
-            done = self.decode(core) + word[len(core) :]
+                done = head + self.decode(core) + tail
+        elif SINGLES.fullmatch(core) and any(c.isalpha() for c in core) or _disguised(core):
+            found = self.decode(core)
+            # a plain word behind "(" stays whole unless that stands for a letter
+            if not (found[0] == core[0] == "(" and core[1:].isalpha() and not TRIPLE.search(core)):
+                done = head + found + tail
         if len(self._words) > 100_000:
             self._words.clear()
         self._words[word] = done
         return done
 
 
+def _edges(word: str) -> tuple[str, str, str]:
+    """Punctuation before a word, the word, punctuation behind it. "(" is punctuation before a
+    single character and where ")" closes it, else it may be a sign."""
+    head, core, tail = EDGES.fullmatch(word).groups()
+    if core[:1] == "(" and len(core) > 1 and (len(core) == 2 or ")" in tail):
+        inner = EDGES.fullmatch(core[1:]).groups()
+        return head + "(" + inner[0], inner[1], inner[2] + tail
+    return head, core, tail
+
+
 def _disguised(word: str) -> bool:
     """Letters with signs among them, a third letters at least."""
     letters = sum(map(str.isalpha, word))
@@ -179,9 +217,9 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
             while j < len(span) and span[j] == c:
                 j += 1
             n = j - i
-            options.append([(c * n, 0.0)] if n < 3 else [(c, 1.0), (c * 2, 1.0)])
+            options.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 2.0)] if n == 2 else [(c, 1.0), (c * 2, 1.0)])
         elif c in SIGNS:
-            options.append([(x, 0.5) for x in LEET[c]] + [(c, 8.0)])
+            options.append([(x, 0.5) for x in LEET[c]] + [(c, 1.0 if c == "(" and not i else 8.0)])
         elif spaced:
             options.append([("", 0.0), (" ", 1.5)])
         else:

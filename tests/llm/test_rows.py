@@ -13,7 +13,7 @@ from holdfast.llm.html import extract_text, main_text
 from holdfast.llm.leaks import SeedIndex, leaked_overlaps, without_leaks
 from holdfast.llm.mixing import mix_strata
 from holdfast.llm.sharding import jump, shard_rows
-from holdfast.llm.toxicity import CharacterModel, count_trigrams, toxicity
+from holdfast.llm.toxicity import CharacterModel, count_trigrams, suspect, toxicity
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block")]
 
@@ -85,6 +85,22 @@ def test_character_model_decodes():
     assert model.restore("Plain WORDS stay, 12 of 30.") == "plain words stay, 12 of 30."
 
 
+DISGUISES = [
+    ("los€r", "loser"), ("$tup1d", "stupid"), ("m o r o n", "moron"), ("m  o  r  o  n", "moron"), ("m \n o\tr \n o n", "moron"),
+    ("m\u2003o\u2003r\u2003o\u2003n", "moron"), ("m o r o n.", "moron."), ("(m o r o n)", "(moron)"), ("\u201cm o r o n\u201d", "\u201cmoron\u201d"),
+    ('"l0ser"', '"loser"'), ("(l0ser)", "(loser)"), ("'m.o.r.o.n',", "'moron',"), ("*m-o-r-o-n", "*moron"), ("mooooron", "moron"), ("mmoooron", "moron"),
+    ("l0ser\U0001f600", "loser\U0001f600"), ("m o r o n\U0001f600", "moron\U0001f600"), ("m_o_r_o_n", "moron"), ("l0ser!", "loser!"), ("moron$$$", "moron$$$"),
+]
+
+
+@pytest.mark.parametrize("disguised, want", DISGUISES)
+def test_disguise_alone_is_decoded(disguised, want):
+    model = CharacterModel(count_trigrams(["some stupid words and a moron, a loser too, more stupid words; stupid moron and loser " * 20]))
+    assert suspect(disguised) and model.restore(f"and {disguised} and") == f"and {want} and" and model.restore(disguised) == want
+    plain = 'he said "words (some of them)" and a word, i am (too much).'
+    assert model.restore(f"{plain} {disguised}") == f"{plain} {want}"
+
+
 def test_held_out_toxicity(spark):
     from holdfast.llm.queries import op4_toxicity
 
