@@ -90,9 +90,73 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BLANK = r"[\x20\x09-\x0D]+"
+
+LINES = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+k AS (SELECT *, {LOWER.format(f"regexp_replace(line, '^{BLANK}|{BLANK}$', '', 'g')")} AS key FROM l),
+h AS (SELECT key, max(doc_id) AS last FROM (SELECT DISTINCT doc_id, key FROM k WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE last <> doc_id)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN h USING (key) GROUP BY doc_id"""
+
+# crc32 by its table; letters of the words have one byte, or two that start with 195. Near words
+# share what is left when one letter is taken out: at one place (replaced), or of one of them only.
+SPELLING = f"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+t AS MATERIALIZED (SELECT list(c::BIGINT ORDER BY i) AS t FROM steps WHERE k = 8),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT id, w, count(*) AS n, string_split(id || ':' || w, '') AS ls FROM r WHERE length(w) >= 5 GROUP BY id, w),
+b AS (SELECT w, n, flatten(list_transform(ls, lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS bytes FROM o),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x::BIGINT) + 1])), 4294967295) AS h FROM b, t),
+v AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+u AS MATERIALIZED (SELECT word, n FROM v WHERE n >= 3 AND length(word) >= 5),
+c AS (SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM u)),
+s AS (SELECT word, n, word[1:i - 1] || '*' || word[i + 1:] AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM u)),
+near AS (
+  SELECT a.word, b.word AS o, b.n AS o_n FROM s a JOIN s b ON a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM c a JOIN u b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM c a JOIN u b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, first(o ORDER BY o_n DESC, o) AS o, first(o_n ORDER BY o_n DESC, o) AS o_n FROM near GROUP BY word),
+f AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN o_n >= 2 * n THEN o END AS form, CASE WHEN o_n >= 2 * n THEN o_n END AS form_n
+  FROM u LEFT JOIN best USING (word)),
+follow(word, tip) AS (SELECT word, word FROM f UNION SELECT x.word, f.form FROM follow x JOIN f ON x.tip = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, x.tip AS root, f.n, f.n_near, f.form_n
+FROM f JOIN follow x ON x.word = f.word JOIN f e ON e.word = x.tip AND e.form IS NULL"""
+
+
+def _clusters(rounds: int = 10) -> str:
+    """Rounds written out one after the other."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (q[i] - e[i]) * (q[i] - e[i])))"
+    out = ["""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q AS e FROM v ORDER BY c LIMIT 8)"""]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, q, min({{'d': d, 'c': c}}) AS best FROM (SELECT vec_id, q, c, {gap} AS d FROM v, c{r}) GROUP BY vec_id, q)")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT best.c AS c, i, sum(q[i]) AS s, count(*)::HUGEINT AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+WITH {", ".join(out)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = best.c"""
+
+
 ORACLES: dict[str, str] = {
     "op2_repeated_windows": WINDOWS,
     "op3_url_reputation": HOSTS,
     "op5_mix_sources": MIX,
     "op8_near_vectors": VECTORS,
+    "op11_centroid_clusters": _clusters(),
+    "op12_spelling_variants": SPELLING,
+    "op13_shared_lines": LINES,
 }

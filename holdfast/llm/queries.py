@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm.clusters import cluster_rows
 from holdfast.llm.hosts import filter_urls
 from holdfast.llm.html import extract_text
 from holdfast.llm.leaks import leaked_overlaps
+from holdfast.llm.lines import without_shared_lines
 from holdfast.llm.mixing import mix_strata
 from holdfast.llm.passages import repeated_passages
 from holdfast.llm.recompression import repeated_windows
 from holdfast.llm.sharding import shard_rows
 from holdfast.llm.simhash import near_copies
+from holdfast.llm.spelling import spelling_groups
 from holdfast.llm.toxicity import toxicity
 from holdfast.llm.vectors import near_vectors
 
@@ -93,6 +96,21 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"), id="doc_id").withColumnRenamed("id", "doc_id")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_rows(_table(spark, sf_dir, "embeddings"), id="vec_id", features="embedding")
+    centroid = F.sha2(F.array_join(F.transform("centroid", lambda v: v.cast("string")), ","), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"), noise=97, id="doc_id")
+
+
+def op13_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_shared_lines(_table(spark, sf_dir, "documents"), id="doc_id")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -103,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_groups, op2_repeated_windows, op3_url_reputation, op4_toxicity, op5_mix_sources, op6_benchmark_leaks,
-        op7_page_text, op8_near_vectors, op9_jump_shards, op10_repeated_passages, pipeline,
+        op7_page_text, op8_near_vectors, op9_jump_shards, op10_repeated_passages, op11_centroid_clusters,
+        op12_spelling_variants, op13_shared_lines, pipeline,
     )
 }
