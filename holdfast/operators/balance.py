@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from holdfast.functions.expr import draw_key, hash60, ratio, unit
+from holdfast.operators.neighbours import nearest_nodes, node_key, nodes_of
 from holdfast.operators.primitives import (
     hex_digits,
     join_small,
@@ -28,6 +29,7 @@ NAMES = {
     "replace": "replacement",
     "weight": "weighted",
     "synthetic": "synthetic",
+    "interpolated": "interpolated",
 }
 
 
@@ -36,6 +38,7 @@ def balance(
     how: str,
     groups: int | None = None,
     features: Sequence[str] = (),
+    k: int = 5,
 ) -> DataFrame:
     if how == "none":
         out = _mark(train, how)
@@ -46,7 +49,9 @@ def balance(
     elif how == "weight":
         out = _mark(class_weights(train, groups), how)
     elif how == "synthetic":
-        out = _mark(synthetic_rows(train, features, groups), how)
+        out = _mark(synthetic_rows(train, features, k, groups), how)
+    elif how == "interpolated":
+        out = _mark(interpolated_rows(train, features, groups), how)
     else:
         raise ValueError(f"unknown balancing {how!r}")
     return out
@@ -170,7 +175,39 @@ def class_weights(train: DataFrame, groups: int | None = None) -> DataFrame:
     return join_small(train, sizes, ["seed", "y"], rows=groups)
 
 
-def synthetic_rows(train: DataFrame, features: Sequence[str], groups: int | None = None) -> DataFrame:
+def synthetic_rows(train: DataFrame, features: Sequence[str], k: int = 5, groups: int | None = None) -> DataFrame:
+    """Originals plus minority rows interpolated towards one of their k nearest rows of the class.
+
+    Neighbours are exact, by squared distance over the features and then id, within the
+    training rows of the same seed and class; null, NaN and infinite features lie at 0 there.
+    The copies that even oversampling would make each move towards a neighbour drawn by
+    digest, by a digest's share of the way. A feature that is null in either row is null; the
+    only row of a class stays where it is. Ids are unique within a seed.
+    """
+    keys = ["seed", "y"]
+    sizes = class_sizes(train, groups)
+    short = sizes.filter(F.col("n") < F.col("n_max")).select(*keys)
+    rows = join_small(train, short, keys, rows=groups)
+    nodes = nodes_of(rows, keys, features, k + 1)
+    near = nearest_nodes(nodes, keys, k + 1, groups)
+    lists = near.groupBy(*keys, "node").agg(F.sort_array(F.collect_list(F.struct("d", "id", "other"))).alias("_near"))
+    base = join_small(even_copies(train, groups), short, keys, rows=groups).filter("copies > 1")
+    base = base.withColumn("node", node_key(features)).join(lists, [*keys, "node"])
+    others = F.slice(F.filter("_near", lambda s: s["id"] != F.col("id")), 1, k)
+    made = base.withColumn("_near", others).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)))
+    draw = hash60(draw_key(F.col("seed"), "syn", F.col("id"), F.col("copy_no")))
+    step = unit(draw_key(F.col("seed"), "step", F.col("id"), F.col("copy_no")))
+    pick = F.get("_near", F.pmod(draw, F.greatest(F.size("_near"), F.lit(1))).cast("int"))
+    made = made.withColumn("_other", F.coalesce(pick["other"], F.col("node"))).withColumn("_step", step)
+    partner = nodes.select(*keys, F.col("node").alias("_other"), F.col("x").alias("_to"))
+    x = {f: F.col(f).cast("double") for f in features}
+    moved = {f: c + (F.get("_to", F.lit(i)) - c) * F.col("_step") for i, (f, c) in enumerate(x.items())}
+    original = train.withColumn("copy_no", F.lit(0)).withColumn("synthetic", F.lit(False)).withColumns(x)
+    made = made.join(partner, [*keys, "_other"]).withColumns(moved).withColumn("synthetic", F.lit(True))
+    return original.unionByName(made.select(*original.columns))
+
+
+def interpolated_rows(train: DataFrame, features: Sequence[str], groups: int | None = None) -> DataFrame:
     """Originals plus minority rows interpolated between random pairs of their class.
 
     The copies that even oversampling would make each move towards a partner, drawn by

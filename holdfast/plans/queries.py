@@ -866,7 +866,7 @@ SYN = {f: f"round(k.{f} + (x.{f} - k.{f}) * k.u, 4) + 0.0 AS {f}" for f in DOC_F
 
 
 @query(
-    "balance_synthetic",
+    "balance_interpolated",
     sql(
         f"""WITH ix AS (SELECT t.seed, t.y, {', '.join('t.' + f for f in DOC_FEATURES)}, s.n,
                               row_number() OVER (PARTITION BY t.seed, t.y ORDER BY md5(concat_ws('|', t.seed, 'ix', t.id)), t.id) - 1 AS i
@@ -875,18 +875,52 @@ SYN = {f: f"round(k.{f} + (x.{f} - k.{f}) * k.u, 4) + 0.0 AS {f}" for f in DOC_F
                 k AS (SELECT m.*, ('0x' || substr(md5(concat_ws('|', m.seed, 'syn', id, copy_no)), 1, 15))::BIGINT % s.n AS i,
                              ('0x' || substr(md5(concat_ws('|', m.seed, 'step', id, copy_no)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
                       FROM m JOIN docs_sizes s ON s.seed = m.seed AND s.y = m.y WHERE s.n < s.n_max)
-           SELECT seed, 'synthetic' AS strategy, id, y, 0::BIGINT AS copy_no, false AS synthetic, {', '.join(f'round({f}::DOUBLE, 4) + 0.0 AS {f}' for f in DOC_FEATURES)}
+           SELECT seed, 'interpolated' AS strategy, id, y, 0::BIGINT AS copy_no, false AS synthetic, {', '.join(f'round({f}::DOUBLE, 4) + 0.0 AS {f}' for f in DOC_FEATURES)}
            FROM docs_splits WHERE split = 'train'
            UNION ALL
-           SELECT k.seed, 'synthetic', k.id, k.y, copy_no, true, {', '.join(SYN.values())}
+           SELECT k.seed, 'interpolated', k.id, k.y, copy_no, true, {', '.join(SYN.values())}
            FROM k JOIN ix x ON x.seed = k.seed AND x.y = k.y AND x.i = k.i"""
     ),
 )
+def _(spark, sf):
+    out = B.balance(docs_train(spark, sf, DOC_FEATURES), "interpolated", GROUPS, DOC_FEATURES)
+    return rounded(longs(out.select("seed", "strategy", "id", "y", "copy_no", "synthetic", *DOC_FEATURES), "copy_no"), *DOC_FEATURES, places=4)
+
+
+def neighbour_sql(p: str, features: list[str], places: int = 4, k: int = 5) -> str:
+    """All pairs of a class by distance and id; the k first are neighbours."""
+    gaps = " + ".join("(coalesce(a.{0}, 0) - coalesce(b.{0}, 0)) * (coalesce(a.{0}, 0) - coalesce(b.{0}, 0))".format(f) for f in features)
+    moved = ", ".join(f"round(m.{f} + (x.{f} - m.{f}) * m.u, {places}) + 0.0 AS {f}" for f in features)
+    return f"""
+      WITH t AS (SELECT t.seed, t.y, t.id, {', '.join('t.' + f for f in features)} FROM {p}_splits t
+                 JOIN {p}_sizes s ON s.seed = t.seed AND s.y = t.y WHERE t.split = 'train' AND s.n < s.n_max),
+      near AS (SELECT a.seed, a.y, a.id, b.id AS other, row_number() OVER (PARTITION BY a.seed, a.y, a.id ORDER BY {gaps}, b.id) AS nth
+               FROM t a JOIN t b ON a.seed = b.seed AND a.y = b.y AND a.id <> b.id QUALIFY nth <= {k}),
+      n AS (SELECT seed, y, id, count(*) AS n FROM near GROUP BY ALL),
+      c AS (SELECT c.*, unnest(range(1::BIGINT, copies::BIGINT)) AS copy_no FROM {p}_copies c),
+      m AS (SELECT c.*, 1 + ('0x' || substr(md5(concat_ws('|', c.seed, 'syn', c.id, copy_no)), 1, 15))::BIGINT % n.n AS nth,
+                   ('0x' || substr(md5(concat_ws('|', c.seed, 'step', c.id, copy_no)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+            FROM c JOIN n ON n.seed = c.seed AND n.y = c.y AND n.id = c.id)
+      SELECT seed, 'synthetic' AS strategy, id, y, 0::BIGINT AS copy_no, false AS synthetic, {', '.join(f'round({f}::DOUBLE, {places}) + 0.0 AS {f}' for f in features)}
+      FROM {p}_splits WHERE split = 'train'
+      UNION ALL
+      SELECT m.seed, 'synthetic', m.id, m.y, copy_no, true, {moved}
+      FROM m JOIN near ON near.seed = m.seed AND near.y = m.y AND near.id = m.id AND near.nth = m.nth
+      JOIN t x ON x.seed = m.seed AND x.y = m.y AND x.id = near.other"""
+
+
+@query("balance_synthetic", sql(neighbour_sql("docs", DOC_FEATURES)))
 def _(spark, sf):
     out = B.balance(docs_train(spark, sf, DOC_FEATURES), "synthetic", GROUPS, DOC_FEATURES)
     return rounded(longs(out.select("seed", "strategy", "id", "y", "copy_no", "synthetic", *DOC_FEATURES), "copy_no"), *DOC_FEATURES, places=4)
 
 
+@query("balance_synthetic_orders", sql(neighbour_sql("ord", ORDER_FEATURES, 6)))
+def _(spark, sf):
+    out = B.balance(ord_train(spark, sf, ORDER_FEATURES), "synthetic", GROUPS, ORDER_FEATURES)
+    return rounded(longs(out.select("seed", "strategy", "id", "y", "copy_no", "synthetic", *ORDER_FEATURES), "copy_no"), *ORDER_FEATURES)
+
+
 @query(
     "balance_report",
     sql(

@@ -42,7 +42,7 @@ def test_synthetic_rows_lie_between_rows_of_their_class(spark):
         x = rng.normal(size=(n, 3))
         rows = [(1, i, int(i < small), *map(float, x[i])) for i in range(n)]
         train = spark.createDataFrame(rows, "seed int, id bigint, y int, a double, b double, c double")
-        out = balance(train, "synthetic", 2, ["a", "b", "c"])
+        out = balance(train, "interpolated", 2, ["a", "b", "c"])
         assert counts(out) == {0: n - small, 1: n - small}
         made = out.filter("synthetic").collect()
         assert len(made) == n - 2 * small
@@ -80,3 +80,52 @@ def test_both_strategies_in_one_pass_equal_the_single_ones(cohort):
     both = unbalanced_and_even(train, 4).select(*cols)
     single = balance(train, "none").select(*cols).unionByName(balance(train, "even", 4).select(*cols))
     assert both.exceptAll(single).count() == 0 and single.exceptAll(both).count() == 0
+
+
+def nearest(x, ids, i, k):
+    d = np.zeros(len(x))
+    for f in range(x.shape[1]):
+        d += (x[:, f] - x[i, f]) * (x[:, f] - x[i, f])
+    order = [j for j in np.lexsort((ids, d)) if j != i]
+    return order[:k]
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "copies"])
+def test_synthetic_rows_lie_towards_a_nearest_neighbour(spark, kind):
+    rng = np.random.default_rng(5)
+    n, small = 5_200, 2_000
+    x = rng.normal(size=(n, 3))
+    if kind == "grid":
+        x = np.round(x * 2) + 0.0
+    if kind == "copies":
+        x[:700] = x[0]
+    rows = [(1, i, int(i < small), *map(float, x[i])) for i in range(n)]
+    train = spark.createDataFrame(rows, "seed int, id bigint, y int, a double, b double, c double")
+    out = balance(train, "synthetic", 2, ["a", "b", "c"])
+    assert counts(out) == {0: n - small, 1: n - small}
+    ids = np.arange(small)
+    for r in out.filter("synthetic").collect():
+        base, point = x[r["id"]], np.array([r["a"], r["b"], r["c"]])
+        d = x[nearest(x[:small], ids, r["id"], 5)] - base
+        size = (d * d).sum(1)
+        step = np.clip((d @ (point - base)) / np.where(size > 0, size, 1), 0, 1)
+        assert np.abs(base + step[:, None] * d - point).max(1).min() < 1e-9
+
+
+@pytest.mark.parametrize("cell_rows", [20, 300])
+def test_nearest_nodes_over_many_cells_equal_brute_force(spark, cell_rows):
+    from holdfast.operators.neighbours import nearest_nodes, nodes_of
+
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=(900, 2)), 1: np.round(rng.normal(size=(700, 2)), 1), 2: np.ones((5, 2)), 3: rng.normal(size=(1, 2)), 4: np.c_[rng.random(600), np.zeros(600)] ** 8}
+    rows = [(g, i * 3 + g, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "g int, id bigint, a double, b double")
+    nodes = nodes_of(frame, ["g"], ["a", "b"], 4)
+    got = {}
+    for r in nearest_nodes(nodes, ["g"], 4, 5, cell_rows).collect():
+        got.setdefault((r["g"], r["node"]), []).append((r["d"], r["id"]))
+    for r in nodes.collect():
+        x = groups[r["g"]]
+        d = (x[:, 0] - r["v"][0]) ** 2 + (x[:, 1] - r["v"][1]) ** 2
+        want = sorted((float(d[i]), i * 3 + r["g"]) for i in range(len(x)))[:4]
+        assert sorted(got[r["g"], r["node"]]) == want
