@@ -29,6 +29,7 @@ from holdfast.operators import stats as I
 from holdfast.operators import transform as D
 from holdfast.operators.figures import figure_data
 from holdfast.operators.primitives import prefix_sum, settle, take_k
+from holdfast.operators.similarity import audit_jaccard, contents_of
 from holdfast.plans.cohorts import DOC_FEATURES, ORDER_FEATURES, docs_cohort, emb_cohort, orders_cohort, table
 from holdfast.plans.evaluation import SEEDS, STRATEGIES, gnb_predictions, sides
 from holdfast.plans.oracle import CTES, fairness_ctes, gnb_ctes, metric_ctes, quota_sql, r, splits_ctes, sql, train_ctes
@@ -1362,6 +1363,33 @@ def _(spark, sf):
     return A.audit_similar(S.holdout(rows, SEEDS), rows, "text")
 
 
+JACCARD_SQL = """
+  WITH p AS (SELECT doc_id AS id, trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS plain FROM documents),
+       w AS (SELECT id, string_split(plain, ' ') AS ws FROM p WHERE length(plain) > 0),
+       s AS (SELECT id, list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, greatest(len(ws) - 4, 1) + 1)])) AS t FROM w),
+       c AS MATERIALIZED (SELECT min(id) AS c, t, len(t) AS n FROM s GROUP BY t),
+       m AS (SELECT s.id, c.c FROM s JOIN c USING (t)),
+       e AS (SELECT c, n, unnest(t) AS x FROM c),
+       o AS (SELECT a.c AS a, b.c AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS j FROM e a JOIN e b ON a.x = b.x AND a.c <> b.c GROUP BY ALL),
+       near AS (SELECT * FROM o WHERE j >= 0.8),
+       side AS (SELECT seed, c, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM doc_all_splits JOIN m USING (id) GROUP BY ALL),
+       k AS (SELECT seed, a, sum(n_train)::BIGINT AS n, max(j) AS j FROM near JOIN side ON b = c WHERE n_train > 0 GROUP BY ALL)
+  SELECT side.seed, side.c AS first_id, n_test, n_train, coalesce(k.n, 0)::BIGINT AS n_near_train,
+         round(CASE WHEN n_train > 0 THEN 1 ELSE k.j END, 6) AS similarity
+  FROM side LEFT JOIN k ON k.seed = side.seed AND k.a = side.c WHERE n_test > 0 AND n_train + coalesce(k.n, 0) > 0"""
+
+
+@query(
+    "audit_jaccard",
+    sql(JACCARD_SQL, doc_all="SELECT doc_id AS id, (lang = 'en')::INT AS y FROM documents", **splits_ctes("doc_all", "doc_all", "")),
+)
+def _(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("y"), "text")
+    found = audit_jaccard(S.holdout(rows, SEEDS), rows, "text")
+    first = contents_of(rows, "text")[0].groupBy("content").agg(F.min("id").alias("first_id"))
+    return rounded(found.join(first, "content").drop("content"), "similarity")
+
+
 @query(
     "audit_complete",
     sql(
