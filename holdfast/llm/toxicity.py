@@ -10,15 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import judged, ship
+from holdfast.llm.common import judged, keep, partitions, ship
 
 SAMPLE = 12_000  # labelled rows that the classifier is fitted on, at most
 FEATURES = 4_000  # word forms that the classifier keeps, at most
 LEAST_Z = 2.72  # a form's log odds ratio in its standard errors
 LEAST_ODDS = 3.0  # and the log odds ratio itself
+FOLDS = 3  # parts of the training texts; each is measured with forms that the others taught
 PRIOR = 0.05  # share of y = 1 that one row's worth of belief holds before any label
 
 # What a sign may stand for.
@@ -282,44 +283,77 @@ def fit_characters(cohort: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(total)
 
 
+def content_key(text: Column) -> Column:
+    """The smallest digest of a text's five-word runs: near copies mostly have one and the same."""
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # evaluated once, not once per element
+    runs = lambda words: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 5), " "))))
+    return bind(F.split(F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " "))), " "), runs)
+
+
 def fit_lexicon(cohort: DataFrame, targets: DataFrame, model: CharacterModel, id: str = "id", text: str = "text") -> Lexicon:
-    """Word forms that tell y = 1 from y = 0, on SAMPLE labelled rows by smallest digest."""
+    """Word forms that tell y = 1 from y = 0, on SAMPLE labelled rows by smallest digest.
+
+    Of the sampled texts with one content key and target one counts, however often it was
+    copied: a text of many copies would teach each of its words. The curve is fitted on hits
+    of forms from the other FOLDS of contents, since a text holds words that only it and its
+    like have taught, and new texts do not.
+    """
+    spark = cohort.sparkSession
     known = (
         targets.where("id is not null and y is not null").groupBy("id").agg(F.max("y").cast("int").alias("y"))
         .orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).select(F.col("id").alias("_id"), "y")
     )
     # SAMPLE rows at most, so broadcasting is bounded
     rows = cohort.select(F.col(id).alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), F.col("_key") == F.col("_id")).select("text", "y")
+    rows = rows.withColumn("key", content_key(F.col("text"))).groupBy("key", "y").agg(F.min("text").alias("text"))
+    rows = rows.repartition(partitions(spark), F.xxhash64("key", "y"))  # spread: texts are decoded next
+    rows = keep(rows.select("y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text")), "training")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield part.assign(text=[model.restore(t) for t in part["text"]])
+
+    rows = keep(rows.mapInPandas(decode, rows.schema), "training")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            seen = {0: Counter(), 1: Counter()}
-            for t, label in zip(part["text"], part["y"]):
+            seen: dict[tuple[int, int], Counter] = {(f, y): Counter() for f in range(FOLDS) for y in (0, 1)}
+            for t, label, fold in zip(part["text"], part["y"], part["fold"]):
                 forms = {""}
-                for word in set(WORDS.findall(model.restore(t or ""))):
+                for word in set(WORDS.findall(t)):
                     forms.update(word_forms(word))
-                seen[label].update(forms)
-            forms = list(seen[0] | seen[1])
-            yield pd.DataFrame({"form": forms, "pos": [seen[1][f] for f in forms], "neg": [seen[0][f] for f in forms]}, columns=["form", "pos", "neg"]).astype({"form": object, "pos": "int64", "neg": "int64"})
+                seen[fold, int(label != 0)].update(forms)
+            for (fold, y), forms in seen.items():
+                yield pd.DataFrame({"form": list(forms), "fold": fold, "y": y, "n": list(forms.values())}, columns=["form", "fold", "y", "n"]).astype({"form": object, "fold": "int32", "y": "int32", "n": "int64"})
 
-    forms = rows.mapInPandas(count, "form string, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    whole = forms.where("form = ''").first()
-    pos, neg = (whole["pos"], whole["neg"]) if whole else (0, 0)
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    z = F.col("odds") / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = forms.where("form <> '' and pos >= 3").withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    lexicon = Lexicon({r["form"]: r["odds"] for r in best.orderBy(F.desc("z"), "form").limit(FEATURES).collect()})
+    of = lambda f, y: F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}")
+    forms = keep(rows.mapInPandas(count, "form string, fold int, y int, n long").groupBy("form").agg(*[of(f, y) for f in range(FOLDS) for y in (0, 1)]), "forms")
+    lexicons = [_lexicon(forms, [f for f in range(FOLDS) if f != left]) for left in range(FOLDS)]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            hits = [lexicon.hits(model.restore(t or "")) for t in part["text"]]
-            yield pd.DataFrame(hits, columns=["a", "b", "c"]).assign(y=part["y"].to_numpy(dtype=np.int32))
+            hits = [lexicons[f].hits(t) for t, f in zip(part["text"], part["fold"])]
+            yield pd.DataFrame(hits, columns=["a", "b", "c"]).assign(y=(part["y"].to_numpy() != 0).astype(np.int32))
 
     table = rows.mapInPandas(measure, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
+    lexicon = _lexicon(forms, list(range(FOLDS)))
     lexicon.fit(table[["a", "b", "c"]].to_numpy(), table["y"].to_numpy(dtype=np.float64))
     return lexicon
 
 
+def _lexicon(forms: DataFrame, folds: list[int]) -> Lexicon:
+    """The strongest FEATURES forms from the counts of these folds; a form weighs the lower bound of its log odds ratio."""
+    tally = lambda y: sum((F.col(f"n{f}{y}") for f in folds), F.lit(0))
+    counts = forms.select("form", tally(1).alias("pos"), tally(0).alias("neg"))
+    whole = counts.where("form = ''").first()
+    pos, neg = (whole["pos"], whole["neg"]) if whole else (0, 0)
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    known = counts.where("form <> '' and pos >= 3").withColumn("odds", odds).withColumn("error", error).withColumn("z", F.col("odds") / F.col("error"))
+    best = known.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "form").limit(FEATURES)
+    return Lexicon({r["form"]: r["odds"] - 2 * r["error"] for r in best.collect()})
+
+
 def toxicity(cohort: DataFrame, targets: DataFrame, least: float = 0.3, id: str = "id", text: str = "text", carry: bool = False) -> DataFrame:
     """(id, score, predicted), one row per cohort row; with `carry` instead the cohort's rows,
     all columns, that score under `least`.
