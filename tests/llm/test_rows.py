@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.hosts import filter_urls
 from holdfast.llm.html import extract_text, main_text
 from holdfast.llm.leaks import SeedIndex, leaked_overlaps, without_leaks
-from holdfast.llm.mixing import mix_strata
+from holdfast.llm.mixing import mix_strata, mixed_rows
 from holdfast.llm.sharding import jump, shard_rows
 from holdfast.llm.toxicity import CharacterModel, count_trigrams, suspect, toxicity
 
@@ -127,8 +127,15 @@ def test_mix(make, odd, none):
     assert all(abs(sum(v) - target) <= 0.5 for (_, target), v in by.items())
     assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6 and all(t <= 2 * s + 1e-9 for s, t in by)
     assert mix_strata(odd).count() == odd.count() and mix_strata(none).collect() == []
-    carried = mix_strata(odd, carry=True)
-    assert carried.columns == ["row", "size", "taken"] and carried.select("row.*").columns == odd.columns
+    # whole rows: each stratum within half a document of its target
+    taken, words = {}, {i: s for i, s, *_ in got}
+    for r in mixed_rows(frame, weights).collect():
+        taken.setdefault(r.stratum, []).append(r)
+    for s, rs in taken.items():
+        some = next(g for g in got if g[0] == next(r.id for r in rs if r.id is not None))
+        assert abs(sum(len((r.text or "").split()) for r in rs) - some[3]) <= 4.5 and max(words.values()) <= 9
+    assert sorted(map(repr, mixed_rows(frame, weights).collect())) == sorted(map(repr, mixed_rows(frame.repartition(7), weights).collect()))
+    assert mixed_rows(odd).columns == odd.columns and mixed_rows(none).collect() == []
 
 
 def test_heavier_rows_come_first(make):

@@ -1,5 +1,7 @@
 """Pipeline stages on odd rows, repeated ids and empty tables."""
 
+from collections import Counter
+
 import corpus_pipeline as p
 import pytest
 
@@ -51,8 +53,12 @@ def test_leaks_go_and_the_rest_stays(spark, docs, tables):
     assert 12 not in got and len(got) == docs.count() - 1
 
 
-def test_mix_writes_the_words_it_takes(spark, docs, tables):
+def test_mix_writes_whole_documents(spark, docs, tables):
     got = p.mix_sources(spark, docs, tables).collect()
-    words = sum(len((r.text or "").split()) for r in docs.collect())
-    assert all(r.n_chars == len(r.text) for r in got)
-    assert abs(sum(len(r.text.split()) for r in got) - 1.5 * words) <= 0.5 * 4
+    given = {repr(r) for r in docs.collect()}
+    assert {repr(r) for r in got} <= given
+    by = lambda rows, f: {s: sum(f(r) for r in rows if r.source == s) for s in {r.source for r in rows}}
+    size, taken = by(docs.collect(), lambda r: len((r.text or "").split())), by(got, lambda r: len((r.text or "").split()))
+    # a source is never taken more than twice, nor any document
+    assert all(taken[s] <= 2 * size[s] for s in taken)
+    assert max(Counter(map(repr, got)).values()) <= 2 * max(Counter(map(repr, docs.collect())).values())
