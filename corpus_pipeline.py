@@ -7,11 +7,10 @@ Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from holdfast.llm.common import keep
 from holdfast.llm.leaks import without_leaks
-from holdfast.llm.mixing import mix_strata
+from holdfast.llm.mixing import mixed_rows
 from holdfast.llm.queries import quality_weights, training_targets
 from holdfast.llm.sharding import shard_rows
 from holdfast.llm.simhash import without_near_copies
@@ -34,19 +33,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them.
-
-    The one at a source's edge is cut to the words taken, joined by single spaces.
-    """
-    mixed = mix_strata(docs, quality_weights(spark, sf_dir), id="doc_id", stratum="source", carry=True).where("taken > 0")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = mixed.withColumn("nth", F.explode(F.sequence(F.lit(0), copies - 1)))
-    part = F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size"))
-    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, part.cast("int")), " ")
-    text = F.when(part < F.col("size"), cut).otherwise(F.col("row.text"))
-    rows = rows.withColumn("row", F.col("row").withField("text", text))
-    return rows.withColumn("row", F.col("row").withField("n_chars", F.char_length("row.text").cast("long"))).select("row.*")
+    """Documents, whole, as often as the mix takes them."""
+    return mixed_rows(docs, quality_weights(spark, sf_dir), id="doc_id", stratum="source")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
