@@ -12,13 +12,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from holdfast.llm.common import judged, keep, partitions, ship
+from holdfast.llm.common import judged, keep, ship
 
 SAMPLE = 12_000  # labelled rows that the classifier is fitted on, at most
 FEATURES = 4_000  # word forms that the classifier keeps, at most
+LEAST_TEXTS = 3  # texts of y = 1 that a form is seen in
 LEAST_Z = 2.72  # a form's log odds ratio in its standard errors
 LEAST_ODDS = 3.0  # and the log odds ratio itself
+LIKE = 0.05  # share of a target's rows that one content counts for, at most
 FOLDS = 3  # parts of the training texts; each is measured with forms that the others taught
 PRIOR = 0.05  # share of y = 1 that one row's worth of belief holds before any label
 
@@ -293,21 +296,25 @@ def content_key(text: Column) -> Column:
 def fit_lexicon(cohort: DataFrame, targets: DataFrame, model: CharacterModel, id: str = "id", text: str = "text") -> Lexicon:
     """Word forms that tell y = 1 from y = 0, on SAMPLE labelled rows by smallest digest.
 
-    Of the sampled texts with one content key and target one counts, however often it was
-    copied: a text of many copies would teach each of its words. The curve is fitted on hits
+    Sampled texts with one content key count for a share LIKE of their target's rows at most,
+    and once at least, however often they were copied: a text of many copies would teach each
+    of its words and leave no room for those that tell. The curve is fitted on hits
     of forms from the other FOLDS of contents, since a text holds words that only it and its
     like have taught, and new texts do not.
     """
-    spark = cohort.sparkSession
     known = (
         targets.where("id is not null and y is not null").groupBy("id").agg(F.max("y").cast("int").alias("y"))
         .orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).select(F.col("id").alias("_id"), "y")
     )
     # SAMPLE rows at most, so broadcasting is bounded
     rows = cohort.select(F.col(id).alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), F.col("_key") == F.col("_id")).select("text", "y")
-    rows = rows.withColumn("key", content_key(F.col("text"))).groupBy("key", "y").agg(F.min("text").alias("text"))
-    rows = rows.repartition(partitions(spark), F.xxhash64("key", "y"))  # spread: texts are decoded next
-    rows = keep(rows.select("y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text")), "training")
+    rows = rows.select("y", content_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = keep(rows, "training")
+    # a content counts for a share of its target's rows at most, smallest digests first
+    nth = F.row_number().over(Window.partitionBy("key", "y").orderBy(F.xxhash64("text"), "row"))
+    most = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("y")) * LIKE))
+    one = rows.select(F.col("row").alias("_row"), nth.alias("nth"), most.alias("most")).where("nth <= most").select("_row")
+    rows = rows.join(one, F.col("row") == F.col("_row")).select("y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -326,8 +333,9 @@ def fit_lexicon(cohort: DataFrame, targets: DataFrame, model: CharacterModel, id
             for (fold, y), forms in seen.items():
                 yield pd.DataFrame({"form": list(forms), "fold": fold, "y": y, "n": list(forms.values())}, columns=["form", "fold", "y", "n"]).astype({"form": object, "fold": "int32", "y": "int32", "n": "int64"})
 
+    some = (F.col("form") == "") | (sum(F.col(f"n{f}1") for f in range(FOLDS)) >= LEAST_TEXTS)
     of = lambda f, y: F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}")
-    forms = keep(rows.mapInPandas(count, "form string, fold int, y int, n long").groupBy("form").agg(*[of(f, y) for f in range(FOLDS) for y in (0, 1)]), "forms")
+    forms = keep(rows.mapInPandas(count, "form string, fold int, y int, n long").groupBy("form").agg(*[of(f, y) for f in range(FOLDS) for y in (0, 1)]).where(some), "forms")
     lexicons = [_lexicon(forms, [f for f in range(FOLDS) if f != left]) for left in range(FOLDS)]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -349,7 +357,7 @@ def _lexicon(forms: DataFrame, folds: list[int]) -> Lexicon:
     pos, neg = (whole["pos"], whole["neg"]) if whole else (0, 0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    known = counts.where("form <> '' and pos >= 3").withColumn("odds", odds).withColumn("error", error).withColumn("z", F.col("odds") / F.col("error"))
+    known = counts.where(f"form <> '' and pos >= {LEAST_TEXTS}").withColumn("odds", odds).withColumn("error", error).withColumn("z", F.col("odds") / F.col("error"))
     best = known.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "form").limit(FEATURES)
     return Lexicon({r["form"]: r["odds"] - 2 * r["error"] for r in best.collect()})
 
