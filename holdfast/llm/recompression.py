@@ -35,9 +35,9 @@ def _name(*parts: np.ndarray | int) -> np.ndarray:
     return total
 
 
-# Every byte value as a random-looking number, and powers of an odd base with its inverse.
-_BYTE = _name(np.arange(256), 17)
+# Inverse of an odd base, and its powers.
 _INVERSE = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
+CHUNKS = 8  # words of more chunks of 8 bytes are hashed one by one
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -46,15 +46,50 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, end) of the words of UTF-8 bytes, parted by ASCII white space."""
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, twin, start, end) of the words of UTF-8 bytes, parted by ASCII white space.
+
+    Name and twin are 128 bits made from all bytes of the word: two chains that mix 8 bytes
+    after 8 bytes, or BLAKE2 for words of more than CHUNKS such steps.
+    """
     space = _SPACE[data]
     edge = np.diff(np.r_[True, space, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = len(data)
-    up, down = _powers(ODD[0], n + 1), _powers(_INVERSE, n + 1)
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64)]
-    return _name((total[end] - total[start]) * down[start], end - start), start, end
+    size = end - start
+    name, twin = _name(size, 17), _name(size, 23)
+    padded = np.r_[data, np.zeros(8, dtype=np.uint8)]
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    left = np.flatnonzero(size <= 8 * CHUNKS)
+    for c in range(CHUNKS):
+        left = left[size[left] > 8 * c]
+        if not len(left):
+            break
+        chunk = np.ascontiguousarray(eight[start[left] + 8 * c]).view("<u8").ravel()
+        spare = np.uint64(8) * np.maximum(8 * (c + 1) - size[left], 0).astype(np.uint64)
+        chunk = (chunk << spare) >> spare
+        with np.errstate(over="ignore"):
+            name[left] = _mix((name[left] ^ chunk) * ODD[0] + np.uint64(c + 1))
+            twin[left] = _mix((twin[left] ^ _mix(chunk + ODD[2])) * ODD[1] + np.uint64(c + 1))
+    for k in np.flatnonzero(size > 8 * CHUNKS).tolist():
+        whole = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=16).digest()
+        name[k], twin[k] = np.frombuffer(whole, dtype="<u8")
+    return name, twin, start, end
+
+
+def _stretches(token: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A digest of the `width` tokens from each place on, by doubling; too short ones at the end are left out."""
+    part, size, total, done = token, 1, None, 0
+    while True:
+        if width & size:
+            n = len(token) - done - size + 1
+            ahead = part[done : done + max(n, 0)]
+            total = ahead if total is None else _name(total[: len(ahead)], ahead, salt, size)
+            done += size
+        size *= 2
+        if size > width:
+            return total
+        half = size // 2
+        part = _name(part[: max(len(part) - half, 0)], part[half:], salt)
 
 
 class Symbols:
@@ -127,7 +162,7 @@ class Windows:
         data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(size + 1) - size - 1
-        name, start, _ = words_of(data)
+        name, twin, start, _ = words_of(data)
         doc = np.searchsorted(begin, start, "right") - 1
         count = np.bincount(doc, minlength=len(texts))
         before = np.r_[0, np.cumsum(count)[:-1]]
@@ -138,6 +173,8 @@ class Windows:
         token[ends] = _name(np.arange(len(texts) + 1), 3, 7)
         place = np.arange(n) + doc + 1
         token[place] = name
+        second = _name(token, 5)
+        second[place] = twin
         if not (count >= w).any():
             return None
         at = place[np.arange(n) + w <= (before + count)[doc]]
@@ -147,7 +184,6 @@ class Windows:
             levels.append(levels[-1].runs(r).pairs(r))
         up, down = _powers(ODD[0], len(token) + 1), _powers(_INVERSE, len(token) + 1)
         one = np.r_[np.uint64(0), np.cumsum(token * up[:-1], dtype=np.uint64)]
-        two = np.r_[np.uint64(0), np.cumsum(_name(token, 5) * up[:-1], dtype=np.uint64)]
         key, spot = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
         open_ = np.arange(len(at))
         for symbols in reversed(levels):
@@ -164,7 +200,7 @@ class Windows:
                 break
         d = doc[np.searchsorted(place, at)]
         first = at - ends[d] - 1
-        return key & ~LOW, d, first, _mix((one[at + w] - one[at]) * down[at]), _mix((two[at + w] - two[at]) * down[at]), spot
+        return key & ~LOW, d, first, _stretches(token, w, 31)[at], _stretches(second, w, 37)[at], spot
 
     def keys(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         keys, owner, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -254,7 +290,9 @@ def repeated_windows(cohort: DataFrame, width: int = 20, id: str = "id", text: s
     of a left and a right symbol, round after round; names and sides follow from what is
     named alone, so they agree across the cohort without a dictionary. A window's key is the
     interior symbol of the highest level with the smallest name; keys that occur twice reveal
-    windows that may repeat, and 128-bit digests of their words verify them.
+    windows that may repeat, and 128-bit digests verify them, built from 128 bits of each
+    word's bytes. A join a round to name symbols by number would shuffle every token, so the
+    rounds run inside the tasks; names from content agree as such numbers would.
 
     Null, empty and short texts lose nothing. A null id counts as larger than any other. Rows
     with equal ids are one document; equal windows at one position of it do not remove each

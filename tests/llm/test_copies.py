@@ -56,6 +56,15 @@ def test_passages_of_other_lengths(spark, make, texts, least):
     assert ordered(got) == ordered(brute.passages(texts[:60], least))
 
 
+def test_words_of_long_structured_letters_differ(make):
+    """Letters in Thue-Morse order and the exchanged word have equal polynomial digests modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = [f"word{i}" for i in range(19)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, " ".join(["zz", *words, other]))]
+    assert ordered(rows_of(repeated_windows(make(rows, "id bigint, text string")))) == ordered(brute.windows(rows))
+
+
 @pytest.mark.parametrize("width", [20, 7])
 def test_windows(make, texts, width):
     got = rows_of(repeated_windows(make(texts, "id bigint, text string"), width))
@@ -160,11 +169,25 @@ def test_near_vectors(make):
     want = [(r[0], int(n), rows[k][0], r[0] == rows[k][0]) for r, n, k in zip(rows, near.sum(axis=1), root)]
     want += [(r[0], 0, r[0], True) for r in odd]
     frame = make([(*r, 5) for r in rows + odd], "id bigint, y int, features array<double>, node int")
-    for size, reach in ((2_000, 4.0), (20, 4.0)):
-        assert ordered(rows_of(near_vectors(frame, cell_rows=size, reach=reach))) == ordered(want)
+    for size in (2_000, 20):
+        assert ordered(rows_of(near_vectors(frame, cell_rows=size))) == ordered(want)
     assert rows_of(near_vectors(frame.where("false"))) == []
 
 
+@pytest.mark.parametrize("dim, rank", [(768, 3), (256, 6)])
+def test_vectors_that_vary_in_few_directions(make, dim, rank):
+    """Many links lie straight across the boundary of two cells; none may be lost."""
+    draw = np.random.default_rng(dim)
+    x = draw.normal(size=(600, rank)) @ draw.normal(size=(rank, dim)) + 1e-3 * draw.normal(size=(600, dim))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = local_components(600, *np.nonzero(near))
+    frame = make([(i, 1, v) for i, v in enumerate(x.tolist())], "id bigint, y int, features array<double>")
+    got = ordered(rows_of(near_vectors(frame, cell_rows=25)))
+    assert got == ordered((i, int(n), int(k), i == k) for i, (n, k) in enumerate(zip(near.sum(axis=1), root)))
+
+
 def test_blocks_of_a_large_cell(make, monkeypatch):
     from holdfast.llm import vectors
 

@@ -81,7 +81,7 @@ def test_toxicity_sees_through_disguises(make):
 
 def test_character_model_decodes():
     model = CharacterModel(count_trigrams(["some stupid words and a moron, more stupid words; stupid moron " * 20]))
-    assert model.restore("a $tup1d m o r o n, and mooooron 2024 x86") == "a stupid moron, and moron 2024 x86" or "stupid" in model.restore("$tup1d")
+    assert model.restore("a $tup1d m o r o n, and mooooron 2024") == "a stupid moron, and moron 2024"
     assert model.restore("Plain WORDS stay, 12 of 30.") == "plain words stay, 12 of 30."
 
 
@@ -144,7 +144,8 @@ def test_heavier_rows_come_first(make):
     # weights 1 and 3: stratum a gets 3000 of 4000 words
     got = mix_strata(frame, weights, weights=(1.0, 3.0)).where("id < 4000").groupBy((F.col("id") % 2).alias("odd")).agg(F.sum("taken").alias("n")).collect()
     n = {r.odd: r.n for r in got}
-    assert n[0] + n[1] == 4000 and n[0] == n[1] or n[0] > n[1]
+    # of 3000 taken words half would fall to each kind of row without weights
+    assert n[0] + n[1] == 3000 and n[0] > 1_600
 
 
 def test_leaks(make, odd, none):
