@@ -141,11 +141,11 @@ def test_mix(make, odd, none):
 def test_heavier_rows_come_first(make):
     frame = make([(i, "w", s) for i in range(4000) for s in ("a",)] + [(i, "w", "b") for i in range(5000, 9000)], "id bigint, text string, stratum string")
     weights = make([(i, 4.0) for i in range(0, 4000, 2)], "id bigint, weight double")
-    # weights 1 and 3: stratum a gets 3000 of 4000 words
-    got = mix_strata(frame, weights, weights=(1.0, 3.0)).where("id < 4000").groupBy((F.col("id") % 2).alias("odd")).agg(F.sum("taken").alias("n")).collect()
+    # weights 1 and 3, all words shared once: stratum a gets 2000 of its 4000 words
+    got = mix_strata(frame, weights, weights=(1.0, 3.0), share=1.0).where("id < 4000").groupBy((F.col("id") % 2).alias("odd")).agg(F.sum("taken").alias("n")).collect()
     n = {r.odd: r.n for r in got}
-    # of 3000 taken words half would fall to each kind of row without weights
-    assert n[0] + n[1] == 3000 and n[0] > 1_600
+    # keys of rate 4 and 1: z^4 + z = 1 at z = 0.7245, the share of heavy rows below the edge
+    assert n[0] + n[1] == 2000 and abs(n[0] - 1449) < 100
 
 
 def test_leaks(make, odd, none):
