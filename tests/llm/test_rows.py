@@ -1,6 +1,7 @@
 """Hosts, toxicity, mixing, leaks, page text and shards."""
 
 import os
+import time
 import zlib
 
 import brute
@@ -212,6 +213,39 @@ def test_text_outside_of_articles():
     assert main_text(f"<article><p>{prose}</p><figure><img src=a><figcaption>A small river.</figcaption></figure><p>{prose}</p></article>") == f"{prose} A small river. {prose}"
 
 
+SENTENCES = [
+    "Река тихо течёт под старым мостом, и люди идут домой вечером. Дети играют на берегу, пока солнце садится за лесом.",
+    "Il fiume scorre lento sotto il vecchio ponte e la gente torna a casa la sera. I bambini giocano sulla riva mentre il sole tramonta dietro il bosco.",
+    "Rzeka płynie powoli pod starym mostem, a ludzie wracają wieczorem do domu. Dzieci bawią się na brzegu, gdy słońce zachodzi za lasem.",
+    "河水在旧桥下静静地流淌,人们在傍晚回家。孩子们在岸边玩耍,太阳落在森林后面。老人们坐在树下谈论过去的日子。",
+    "يجري النهر بهدوء تحت الجسر القديم ويعود الناس إلى بيوتهم في المساء. يلعب الأطفال على الضفة بينما تغرب الشمس خلف الغابة.",
+    "नदी पुराने पुल के नीचे धीरे धीरे बहती है और लोग शाम को घर लौटते हैं। बच्चे किनारे पर खेलते हैं जबकि सूरज जंगल के पीछे डूबता है।",
+]
+
+
+@pytest.mark.parametrize("prose", SENTENCES)
+def test_main_text_in_any_language(prose):
+    names = "".join(f"<td>Alpha {k}</td>" for k in range(9))
+    page = f"<nav><a>{prose}</a></nav><table><tr>{names}</tr></table><div><p>{prose}</p><p>{prose}</p></div><div><a>{prose}</a></div><footer>© {prose}</footer>"
+    assert main_text(page) == f"{prose} {prose}"
+
+
+def _slow(page):
+    start = time.perf_counter()
+    main_text(page + "The text of it.")
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("part", ["<span>", "<div>", "<p><b>", "<li><span>", "<select>", "<a<a", "<a title='x\"y>", "</x>"])
+def test_main_text_takes_linear_time(part):
+    # five times the page: a square would take 25 times as long
+    assert _slow(part * 100_000) < 12 * max(_slow(part * 20_000), 0.05)
+
+
+def test_an_odd_quote_ends_with_its_tag():
+    assert main_text("<article><p title=\"x>Some words.</p><p>And it's more.</p></article>") == "Some words. And it's more."
+
+
 def test_extract_text(make):
     pages = make([(1, "u", PAGE, "t"), (None, None, None, "t"), (1, "u", PAGE, "t"), (2, "v", "<p>" * 3000 + "x" * 200_000, "t")], "id bigint, url string, html string, text string")
     got = extract_text(pages).collect()
