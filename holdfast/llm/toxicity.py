@@ -312,8 +312,8 @@ def fit_lexicon(cohort: DataFrame, targets: DataFrame, model: CharacterModel, id
     rows = keep(rows, "training")
     # a content counts for a share of its target's rows at most, smallest digests first
     nth = F.row_number().over(Window.partitionBy("key", "y").orderBy(F.xxhash64("text"), "row"))
-    most = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("y")) * LIKE))
-    one = rows.select(F.col("row").alias("_row"), nth.alias("nth"), most.alias("most")).where("nth <= most").select("_row")
+    most = rows.groupBy("y").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * LIKE)).alias("most"))
+    one = rows.select("y", F.col("row").alias("_row"), nth.alias("nth")).join(F.broadcast(most), "y").where("nth <= most").select("_row")
     rows = rows.join(one, F.col("row") == F.col("_row")).select("y", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
