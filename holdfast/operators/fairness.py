@@ -17,6 +17,12 @@ COUNTS = ["n", "pos", "pred_pos", "tp"]
 FAIR_BY = ["experiment", "model", "attr", "grp", "measure"]
 
 
+def _level(attr: str) -> str:
+    """SQL for the group of an attribute value; different values, null included, are different groups."""
+    value = f"cast(`{attr}` as string)"
+    return f"CASE WHEN {value} IS NULL THEN 'missing' WHEN {value} RLIKE '^=*missing$' THEN concat('=', {value}) ELSE {value} END"
+
+
 def subgroups(
     pred: DataFrame,
     attrs: Sequence[str],
@@ -27,11 +33,11 @@ def subgroups(
 
     The comparator is the rest of the rows, or the named reference group of the
     attribute. Attributes come with the predictions, or from `cohort` by id. Null
-    attribute values form the group `missing`.
+    attribute values form the group `missing`; a level of that very name is `=missing`.
     """
     if cohort is not None:
         pred = pred.join(cohort.select("id", *attrs), "id", "left")
-    args = ", ".join(f"'{a}', coalesce(cast(`{a}` as string), 'missing')" for a in attrs)
+    args = ", ".join(f"'{a}', {_level(a)}" for a in attrs)
     long = pred.select(*KEYS, "y", "y_pred", F.expr(f"stack({len(attrs)}, {args}) as (attr, grp)"))
     y, p = F.col("y"), F.col("y_pred")
     counts = long.groupBy(*GROUP).agg(

@@ -8,16 +8,20 @@ shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from holdfast.functions.expr import draw_key, ratio
 from holdfast.operators.primitives import join_small, kth_key, lookup, settle, within_threshold
 
+SCHEMA = "_schema"  # beside the seeds of a frozen split; readers pass over such names
+
 
 def each_seed(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
@@ -179,11 +183,15 @@ def split_report(splits: DataFrame) -> DataFrame:
 
 
 def freeze(splits: DataFrame, path: str) -> DataFrame:
-    """Write the split once, by seed, and hand back a reader of what was written."""
+    """Write the split once, by seed, with its schema, and hand back a reader of what was written."""
     splits.write.partitionBy("seed").parquet(path)
+    note = splits.sparkSession.createDataFrame([(splits.schema.json(),)], "value string")
+    note.coalesce(1).write.text(f"{path}/{SCHEMA}")
     return thaw(splits.sparkSession, path)
 
 
 def thaw(spark, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
+    """A frozen split in the types it was written with, the partition column `seed` included."""
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}/{SCHEMA}").first()[0]))
+    df = spark.read.schema(schema).parquet(path)
     return df.select("seed", *[c for c in df.columns if c != "seed"])

@@ -146,3 +146,10 @@ def test_null_attribute_is_a_group(spark):
     df = pred(spark, [1, 0], [1, 1]).withColumn("g", F.lit(None).cast("string"))
     sub = J.subgroups(df, ["g"]).first()
     assert sub["grp"] == "missing" and sub["rest_n"] == 0
+
+
+def test_a_level_named_missing_is_not_null(spark):
+    rows = [("e", "m", "s", 1, i, i % 2, 1, g) for i, g in enumerate([None, None, "missing", "=missing", "=missing", "=missing", "a"])]
+    df = spark.createDataFrame(rows, "experiment string, model string, strategy string, seed int, id long, y int, y_pred int, g string")
+    got = {r["grp"]: r["n"] for r in J.subgroups(df, ["g"]).collect()}
+    assert got == {"missing": 2, "=missing": 1, "==missing": 3, "a": 1}

@@ -79,6 +79,14 @@ def test_freeze_reads_back_and_prunes(spark, cohort):
     assert "PartitionFilters: [isnotnull(seed" in one._jdf.queryExecution().toString()
 
 
+def test_frozen_types_hold(spark, make):
+    rows = make([("007", 1, "train"), ("1e3", 2, "test"), (None, 3, "train")], "seed string, id int, split string")
+    frozen = freeze(rows, new_path(spark, "splits"))
+    assert dict(frozen.dtypes) == dict(rows.dtypes)
+    assert {tuple(r) for r in frozen.select("seed", "id").collect()} == {("007", 1), ("1e3", 2), (None, 3)}
+    assert freeze(rows.where("false"), new_path(spark, "splits")).dtypes == frozen.dtypes
+
+
 def test_one_class_and_empty(spark, cohort):
     ones = holdout(cohort.filter("y = 1"), [1])
     assert ones.filter("split = 'test'").count() == 12
