@@ -178,6 +178,71 @@ def metric_ctes(p: str) -> dict[str, str]:
     }
 
 
+def logistic_ctes(
+    p: str, feats: list[str], exp: str, copies: str, rows: str, penalties: list[float], rounds: int = 10
+) -> dict[str, str]:
+    """Newton's method written out: each round sums gradient and Hessian and solves by elimination.
+
+    `copies` holds the training rows with their copies, `rows` the rows to be scored.
+    """
+    k, n = "seed, strategy", len(feats) + 1
+    margin = " + ".join(f"b.b{i} * t.z{i}" for i in range(n))
+    std = ", ".join(f"CASE WHEN s_{x} > 0 AND t.{x} IS NOT NULL THEN (t.{x} - m_{x}) / s_{x} ELSE 0 END AS z{i + 1}" for i, x in enumerate(feats))
+    out = {
+        f"{p}_arms": f"""
+          SELECT seed, 'unbalanced' AS strategy, y, 1.0::DOUBLE AS w, {', '.join(feats)} FROM {copies}
+          UNION ALL SELECT seed, 'oversampled', y, copies::DOUBLE, {', '.join(feats)} FROM {copies}""",
+        f"{p}_m": f"""
+          SELECT {k}, sum(w) AS total, {', '.join(f'sum(w * {x}) / sum(w) FILTER ({x} IS NOT NULL) AS m_{x}' for x in feats)}
+          FROM {p}_arms GROUP BY ALL""",
+        f"{p}_s": f"""
+          SELECT m.*, q.* EXCLUDE (seed, strategy) FROM {p}_m m JOIN (
+            SELECT t.seed, t.strategy, {', '.join(f'sqrt(sum(w * (t.{x} - m_{x}) ** 2) / (any_value(total) - 1)) AS s_{x}' for x in feats)}
+            FROM {p}_arms t JOIN {p}_m m ON m.seed = t.seed AND m.strategy = t.strategy GROUP BY ALL) q
+          ON q.seed = m.seed AND q.strategy = m.strategy""",
+        f"{p}_z": f"""
+          SELECT t.seed, t.strategy, t.y, w / total AS w, 1.0::DOUBLE AS z0, {std}
+          FROM {p}_arms t JOIN {p}_s s ON s.seed = t.seed AND s.strategy = t.strategy""",
+        f"{p}_b0": f"""
+          SELECT seed, strategy, penalty, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(n))}
+          FROM {p}_m, (VALUES {', '.join(f'({x}::DOUBLE)' for x in penalties)}) g(penalty)""",
+    }
+    ridge = lambda i: "penalty" if i else "0"
+    for it in range(rounds):
+        sums = [f"sum(w * (pr - y) * z{i}) AS g{i}, any_value(b{i}) AS b{i}" for i in range(n)]
+        sums += [f"sum(w * pr * (1 - pr) * z{i} * z{j}) AS h{i}{j}" for i in range(n) for j in range(i + 1)]
+        out[f"{p}_h{it}"] = f"""
+          SELECT seed, strategy, penalty, {', '.join(sums)} FROM (
+            SELECT t.*, b.penalty, {', '.join(f'b.b{i}' for i in range(n))}, 1 / (1 + exp(-({margin}))) AS pr
+            FROM {p}_z t JOIN {p}_b{it} b ON b.seed = t.seed AND b.strategy = t.strategy) q
+          GROUP BY ALL"""
+        steps = []
+        for i in range(n):
+            less = "".join(f" - l{i}{m} * l{i}{m} * d{m}" for m in range(i))
+            for j in range(i):
+                own = "".join(f" - l{i}{m} * l{j}{m} * d{m}" for m in range(j))
+                steps.append(f"(h{i}{j}{own}) / d{j} AS l{i}{j}")
+            steps.append(f"h{i}{i} + {ridge(i)}{less} AS d{i}")
+        for i in range(n):
+            steps.append(f"g{i} + {ridge(i)} * b{i}" + "".join(f" - l{i}{j} * u{j}" for j in range(i)) + f" AS u{i}")
+        for i in reversed(range(n)):
+            steps.append(f"u{i} / d{i}" + "".join(f" - l{j}{i} * v{j}" for j in range(i + 1, n)) + f" AS v{i}")
+        out[f"{p}_b{it + 1}"] = f"""
+          SELECT seed, strategy, penalty, {', '.join(f'b{i} - v{i} AS b{i}' for i in range(n))}
+          FROM (SELECT *, {', '.join(steps)} FROM {p}_h{it}) q"""
+    out[f"{p}_coef"] = " UNION ALL ".join(
+        f"SELECT seed, strategy, penalty, '{x}' AS feature, b{i} AS coef FROM {p}_b{rounds}"
+        for i, x in enumerate(["const", *feats])
+    )
+    out[f"{p}_pred"] = f"""
+      SELECT *, (score > 0)::INT AS y_pred FROM (
+        SELECT '{exp}' AS experiment, 'logistic' AS model, t.strategy, t.seed, t.id, t.y, b.penalty, {margin} AS score
+        FROM (SELECT t.seed, s.strategy, t.id, t.y, 1.0::DOUBLE AS z0, {std}
+              FROM {rows} t JOIN {p}_s s ON s.seed = t.seed) t
+        JOIN {p}_b{rounds} b ON b.seed = t.seed AND b.strategy = t.strategy) q"""
+    return out
+
+
 def fairness_ctes(p: str, attrs: list[str]) -> dict[str, str]:
     k = "experiment, model, strategy, seed, attr, grp"
     w = "OVER (PARTITION BY experiment, model, strategy, seed, attr)"

@@ -28,11 +28,12 @@ from holdfast.operators import stability as H
 from holdfast.operators import stats as I
 from holdfast.operators import transform as D
 from holdfast.operators.figures import figure_data
+from holdfast.operators.logistic import coefficients, fit_logistic, score_logistic
 from holdfast.operators.primitives import prefix_sum, settle, take_k
 from holdfast.operators.similarity import audit_jaccard, contents_of
 from holdfast.plans.cohorts import DOC_FEATURES, ORDER_FEATURES, docs_cohort, emb_cohort, orders_cohort, table
 from holdfast.plans.evaluation import SEEDS, STRATEGIES, gnb_predictions, sides
-from holdfast.plans.oracle import CTES, fairness_ctes, gnb_ctes, metric_ctes, quota_sql, r, splits_ctes, sql, train_ctes
+from holdfast.plans.oracle import CTES, fairness_ctes, gnb_ctes, logistic_ctes, metric_ctes, quota_sql, r, splits_ctes, sql, train_ctes
 from holdfast.plans.run import Run, audit_summary, evaluate_run
 from holdfast.session import new_path
 from holdfast.sources import sinks
@@ -770,6 +771,36 @@ def _(spark, sf):
     return rounded(D.best_setting(reduce(DataFrame.unionByName, [with_best(k) for k in COUNTS]), "k"), "value")
 
 
+PENALTIES = (0.0001, 0.01, 0.1, 1.0)
+TUNE_PENALTY: dict[str, str] = {
+    **INNER,
+    "tp_splits": "SELECT seed, id, y, n_chars, spaces, word_len, CASE split WHEN 'fit' THEN 'train' ELSE 'test' END AS split FROM docs_inner",
+    "tp_rows": "SELECT * FROM tp_splits WHERE split = 'test'",
+    **train_ctes("tp", DOC_FEATURES),
+    **logistic_ctes("tp", DOC_FEATURES, "docs", "tp_copies", "tp_rows", list(PENALTIES)),
+}
+
+
+@query(
+    "tune_penalty",
+    sql(
+        f"""WITH c AS (SELECT experiment, model, strategy, seed, penalty, count(*) FILTER (y = 1 AND y_pred = 1) AS tp,
+                     count(*) FILTER (y = 0 AND y_pred = 1) AS fp, count(*) FILTER (y = 1 AND y_pred = 0) AS fn
+                   FROM tp_pred GROUP BY ALL),
+             v AS (SELECT *, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS value FROM c),
+             k AS (SELECT *, row_number() OVER (PARTITION BY experiment, model, strategy, seed ORDER BY round(value, 9) DESC, penalty) AS rk FROM v)
+        SELECT experiment, model, strategy, seed, penalty, {r('value')} FROM k WHERE rk = 1""",
+        **TUNE_PENALTY,
+    ),
+)
+def _(spark, sf):
+    # The penalty of the regression, chosen on inner validation rows; all values in one fit.
+    fit, valid = inner_sides(spark, sf, DOC_FEATURES)
+    params = fit_logistic(B.even_copies(fit, GROUPS), DOC_FEATURES, GROUPS, PENALTIES)
+    scored = score_logistic(valid, params, DOC_FEATURES, "docs", GROUPS * len(PENALTIES), keep=["penalty"])
+    return rounded(D.best_setting(scored, "penalty"), "value")
+
+
 # --- a preserved run ---------------------------------------------------------------
 
 RUN_K = 3
@@ -997,6 +1028,41 @@ def _(spark, sf):
     return rounded(G.evaluate(pred), "value")
 
 
+# Logistic regression of all seeds and strategies in one fit.
+PENALTY = 0.001
+LOGISTIC = {
+    "lr_rows": "SELECT * FROM docs_splits WHERE split = 'test'",
+    **logistic_ctes("lr", DOC_FEATURES, "docs", "docs_copies", "lr_rows", [PENALTY]),
+    **metric_ctes("lr"),
+}
+
+
+def docs_logistic(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    train, test = sides(docs_splits(spark, sf, DOC_FEATURES))
+    return fit_logistic(B.even_copies(train, GROUPS), DOC_FEATURES, GROUPS, [PENALTY]), test
+
+
+@query("fit_logistic", sql("SELECT seed, strategy, penalty, feature, round(coef, 5) + 0.0 AS coef FROM lr_coef", **LOGISTIC))
+def _(spark, sf):
+    return rounded(coefficients(docs_logistic(spark, sf)[0], DOC_FEATURES), "coef", places=5)
+
+
+@query("evaluate_logistic", sql(f"SELECT experiment, model, strategy, seed, metric, {r('value')} FROM lr_metrics", **LOGISTIC))
+def _(spark, sf):
+    params, test = docs_logistic(spark, sf)
+    return rounded(G.evaluate(score_logistic(test, params, DOC_FEATURES, "docs", GROUPS)), "value")
+
+
+@query("save_parameters", sql("SELECT experiment, model, strategy, seed, tp, fp, fn, tn FROM lr_conf", **LOGISTIC))
+def _(spark, sf):
+    params, test = docs_logistic(spark, sf)
+    meta = {"experiment": "docs", "model": "logistic", "config": "frac=0.2", "preprocessing": "mean fill and scale, fitted on training rows"}
+    path = new_path(spark, "parameters")
+    sinks.save_parameters(params, meta, path)
+    back = sinks.load_parameters(spark, path, "docs", "logistic", params.schema)
+    return longs(G.confusion(score_logistic(test, back, DOC_FEATURES, "docs", GROUPS)), "tp", "fp", "fn", "tn")
+
+
 @query(
     "compare_models",
     sql(

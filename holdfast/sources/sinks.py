@@ -78,6 +78,24 @@ def save_model(model, meta: Mapping[str, str], path: str) -> str:
     return target
 
 
+def save_parameters(params: DataFrame, meta: Mapping[str, str], path: str) -> str:
+    """Fitted parameters of all seeds and strategies as one table, with what identifies them.
+
+    `meta` names experiment, model, config and preprocessing. A second save of the same
+    experiment and model is an error.
+    """
+    target = f"{path}/{meta['experiment']}-{meta['model']}"
+    named = {f"meta_{k}": F.lit(str(v)) for k, v in meta.items()}
+    kept = params.withColumns({**named, "meta_spark_version": F.lit(params.sparkSession.version)})
+    kept.coalesce(1).write.parquet(target)
+    return target
+
+
+def load_parameters(spark: SparkSession, path: str, experiment: str, model: str, schema: T.StructType) -> DataFrame:
+    """The table `save_parameters` wrote, in the columns of `schema`."""
+    return spark.read.schema(schema).parquet(f"{path}/{experiment}-{model}")
+
+
 def load_model(path: str):
     from pyspark.ml import PipelineModel
 

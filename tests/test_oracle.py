@@ -14,7 +14,7 @@ SF = os.environ.get("HOLDFAST_SF_DIR", "/root/testdata/sf0.01")
 SOME = [
     "load_cohort", "holdout", "holdout_entity", "inner_holdout", "take_k", "prefix_sum", "scale_robust", "apply_params",
     "balance_replace", "balance_synthetic", "audit_jaccard", "audit_near_text", "audit_near", "audit_test", "check_claims", "summary", "roc_auc_orders", "figure_roc", "seed_reuse", "wilcoxon", "corrected_t", "spd",
-    "audit_copies", "audit_all", "evaluate_run", "trace_run", "tune_features", "apply_select", "audit_complete", "audit_order", "broken_links", "fingerprint", "rerun_diff",
+    "evaluate_logistic", "tune_penalty", "audit_copies", "audit_all", "evaluate_run", "trace_run", "tune_features", "apply_select", "audit_complete", "audit_order", "broken_links", "fingerprint", "rerun_diff",
 ]
 
 
