@@ -19,6 +19,8 @@ from holdfast.session import new_path
 BROADCAST_ROWS = 100_000
 SALTS = 64
 HOT_ROWS = 1_000_000
+#: Rows of one window at most; beyond it a group is dealt into ranges.
+RANGE_ROWS = 1_000_000
 
 
 def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -165,7 +167,11 @@ def _bracketed(rows, group, want, key, tie, groups) -> DataFrame:
 
 
 def _by_histogram(rows, group, want, key, tie, groups) -> DataFrame:
-    """Two passes, exact for any keys: counts by prefix, then the one bucket that matters."""
+    """Two passes, exact for any keys: counts by prefix, then the one bucket that matters.
+
+    Rows of one (key, tie) are one counter there; where repeated keys make the bucket
+    large, its counters are summed over ranges.
+    """
     prefix = F.col("_key").substr(F.lit(1), F.col("_digits"))
     hist = (
         join_small(rows, want.select(*group, "_k", "_digits"), group, rows=groups)
@@ -184,19 +190,35 @@ def _by_histogram(rows, group, want, key, tie, groups) -> DataFrame:
             "_digits",
             "_bucket",
             (F.col("_k") - F.col("_cum") + F.col("_cnt")).alias("_need"),
+            F.col("_cnt").alias("_size"),
         )
     )
-    place = F.row_number().over(W.partitionBy(*group).orderBy("_key", tie))
-    return (
-        join_small(rows, edge, group, rows=groups)
+    edge = settle(edge, groups)
+    same = (
+        join_small(rows, edge.drop("_size"), group, rows=groups)
         .withColumn("_key", key)
         .filter(prefix == F.col("_bucket"))
-        .withColumn("_place", place)
-        .filter(F.col("_place") == F.col("_need"))
-        .select(*group, F.col("_key").alias("thr_key"), F.col(tie).alias("thr_tie"))
+        .groupBy(*group, "_need", "_key", F.col(tie).alias("_tie"))
+        .agg(F.count("*").alias("_cnt"))
+    )
+    placed = _running(same, group, [F.col("_key"), F.col("_tie")], "_cnt", "_cum", edge, "_size")
+    return placed.filter((F.col("_cum") - F.col("_cnt") < F.col("_need")) & (F.col("_need") <= F.col("_cum"))).select(
+        *group, F.col("_key").alias("thr_key"), F.col("_tie").alias("thr_tie")
     )
 
 
+def _running(
+    df: DataFrame, group: list[str], order: list[Column], val: str, name: str, sizes: DataFrame, size: str
+) -> DataFrame:
+    """Running sums per group: one window while the largest group, by column `size` of the
+    settled table `sizes`, is within `RANGE_ROWS`, else windows over ranges. Same result."""
+    largest = sizes.agg(F.max(size)).first()[0]
+    if largest is None or largest <= RANGE_ROWS:
+        over = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(val).over(over))
+    return prefix_sum(df, group, None, order, {val: name})
+
+
 def within_threshold(key: Column, tie: Column) -> Column:
     """True for rows up to the threshold row; false where the group has none.
 
@@ -227,13 +249,17 @@ def take_k(
 def range_buckets(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds `name`, a number that rises with (group, order), by ranges of even size.
 
-    Spark samples the ranges; the numbers are written with the rows, so that every later
-    plan sees the same ones.
+    The rows are stored and counted first: there are as many ranges as keep each near
+    `RANGE_ROWS`, and no fewer than shuffle partitions. Spark samples the ranges; the
+    numbers are written with the rows, so that every later plan sees the same ones.
     """
-    path = new_path(df.sparkSession, "ranges")
-    ranged = df.repartitionByRange(*group, *order).withColumn(name, F.spark_partition_id())
+    spark = df.sparkSession
+    rows = settle(df)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    ranged = rows.repartitionByRange(ranges, *group, *order).withColumn(name, F.spark_partition_id())
+    path = new_path(spark, "ranges")
     ranged.write.parquet(path)
-    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
 
 
 def prefix_sum(
@@ -268,8 +294,8 @@ def exact_percentiles(
 
     A quantile sketch brackets each wanted rank; exact counts below, inside and above
     the bracket say which zone really holds it, and only rows of that zone are taken out
-    of the wide table, counted by distinct value and ordered. The sketch affects speed,
-    never the result.
+    of the wide table, counted by distinct value and ordered, over ranges where they are
+    many. The sketch affects speed, never the result.
     """
     eps = 2e-4
     cells = [(f, i) for f in features for i in range(len(ps))]
@@ -298,6 +324,7 @@ def exact_percentiles(
         .selectExpr("*", "floor(pos) as r0", "ceil(pos) as r1")
         .selectExpr("*", f"{zone('r0')} as z0", f"{zone('r1')} as z1")
         .selectExpr("*", "CASE z0 WHEN 0 THEN 0L WHEN 1 THEN below ELSE upto END as base")
+        .selectExpr("*", "CASE z1 WHEN 0 THEN below WHEN 1 THEN upto ELSE n END - base as size")
     )
     plan = settle(plan, bound)
     # Inclusive ends of the zones that hold the two ranks; a value on an end that belongs
@@ -324,12 +351,13 @@ def exact_percentiles(
         .agg(F.count("*").alias("_c"))
     )
     key = [*by, "feature", "p"]
-    order = W.partitionBy(*by, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        join_small(values, plan.drop("n", "below", "upto"), [*by, "cell"], rows=bound)
+    near = (
+        join_small(values, plan.drop("n", "below", "upto", "size"), [*by, "cell"], rows=bound)
         .filter("CASE WHEN v < lo THEN 0 WHEN v <= hi THEN 1 ELSE 2 END >= z0")
         .filter("CASE WHEN v < lo THEN 0 WHEN v <= hi THEN 1 ELSE 2 END <= z1")
-        .withColumn("_cum", F.col("base") + F.sum("_c").over(order))
+    )
+    ranked = _running(near, [*by, "cell"], [F.col("v")], "_c", "_run", plan, "size").withColumn(
+        "_cum", F.col("base") + F.col("_run")
     )
     at = lambda r: F.max(F.when((F.col("_cum") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_cum")), F.col("v")))
     frac = F.max(F.col("pos") - F.col("r0"))

@@ -59,7 +59,9 @@ def test_lookup_with_a_hot_key(spark, hot):
     assert all(r["v"] == (None if r["k"] == 99 else r["k"] * 10) for r in out)
 
 
-def test_percentiles_are_exact_on_skewed_values(spark):
+@pytest.mark.parametrize("most", [1_000_000, 1_500])
+def test_percentiles_are_exact_on_skewed_values(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "RANGE_ROWS", most)
     rng = np.random.default_rng(0)
     x = np.concatenate([np.full(4000, 7.0), rng.normal(0, 100, 6001), [1e12, -1e12]])
     y = rng.exponential(1.0, x.size)
@@ -73,6 +75,29 @@ def test_percentiles_are_exact_on_skewed_values(spark):
                 assert got[(g, name, p)] == pytest.approx(np.percentile(v[g::2], 100 * p), rel=1e-12)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 300])
+def test_repeated_keys_and_ties_are_counted(spark, monkeypatch, most):
+    # Group 0: one key for all rows; group 1: two keys, every id eight times.
+    monkeypatch.setattr(P, "RANGE_ROWS", most)
+    data = [(0, "a" * 32, i) for i in range(4000)] + [(1, "0f"[i % 2] * 32, i // 16) for i in range(4000)]
+    df = spark.createDataFrame(data, "g int, key string, id long")
+    for k in (1, 1999, 2001, 4000):
+        quota = spark.createDataFrame([(g, 4000, k) for g in (0, 1)], "g int, n long, k long")
+        got = {r["g"]: (r["thr_key"], r["thr_tie"]) for r in P.kth_key(df, ["g"], quota, F.col("key"), "id", 2).collect()}
+        for g in (0, 1):
+            assert got[g] == sorted(x[1:] for x in data if x[0] == g)[k - 1]
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 100)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", F.lit(1).cast("bigint").alias("one"))
+    ranged = P.range_buckets(rows, ["g"], [F.col("id")], "bucket")
+    sizes = [r["count"] for r in ranged.groupBy("bucket").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+    out = P.prefix_sum(rows, ["g"], None, [F.col("id")], {"one": "run"})
+    assert out.filter("run <> id div 2 + 1").count() == 0 and out.count() == 3000
+
+
 def test_p_values(spark):
     row = spark.range(1).select(
         student_t_p(F.lit((9 / 14) ** 0.5), F.lit(9)).alias("t9"),
