@@ -18,6 +18,7 @@ from holdfast.session import new_path
 
 BROADCAST_ROWS = 100_000
 SALTS = 64
+HOT_LEVELS = 1_000
 HOT_ROWS = 1_000_000
 #: Rows of one window at most; beyond it a group is dealt into ranges.
 RANGE_ROWS = 1_000_000
@@ -87,6 +88,32 @@ def lookup(
     )
 
 
+def join_levels(
+    big: DataFrame, levels: DataFrame, by: list[str], level: str, value: str, rows: int | None = None
+) -> DataFrame:
+    """Left join of a level table, unique on (by, level), of any size; adds `value`.
+
+    Up to the broadcast limit the table is broadcast. Beyond it a frequent-items sketch
+    over `big` names at most `HOT_LEVELS` levels; their part of the table is looked up
+    map-side and their rows, known to the table or not, are spread over a salt, while all
+    other levels take one ordinary join. Nothing is copied; the sketch affects where rows
+    go, never the result. `level` must not be null in `big`.
+    """
+    if rows is None:
+        rows = levels.limit(BROADCAST_ROWS + 1).count()
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(levels), [*by, level], "left").select(*big.columns, value)
+    tracked = 16 * HOT_LEVELS
+    top = big.agg(F.expr(f"approx_top_k(`{level}`, {HOT_LEVELS}, {tracked})").alias("top")).first()["top"] or []
+    often = F.col(level).isin([t["item"] for t in top])
+    near = levels.filter(often).withColumnRenamed(value, "_near")
+    far = levels.filter(~often).withColumnRenamed(value, "_far").withColumn("_salt", F.lit(0).cast("bigint"))
+    spread = F.when(often, F.lit(1) + F.pmod(F.xxhash64(*big.columns), F.lit(4096))).otherwise(F.lit(0))
+    out = join_small(big.withColumn("_salt", spread.cast("bigint")), near, [*by, level], "left")
+    out = out.join(far, [*by, level, "_salt"], "left")
+    return out.select(*big.columns, F.coalesce("_near", "_far").alias(value))
+
+
 def hex_digits(n: Column) -> Column:
     """How many leading hex digits split n uniform digests into about sqrt(n) buckets."""
     return F.least(

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from holdfast.functions.expr import ratio
 from holdfast.operators.metrics import confusion, point_metrics
-from holdfast.operators.primitives import exact_percentiles, join_small, prefix_sum, settle
+from holdfast.operators.primitives import exact_percentiles, join_levels, join_small, prefix_sum, settle
 
 BY = ["seed"]
 
@@ -212,8 +212,8 @@ def apply_encode(
 ) -> DataFrame:
     """Adds `<col>_code`; levels unseen in training get the reserved value.
 
-    Level tables beyond broadcast size are salted, so a level held by a third of the
-    rows does not end in one task.
+    Level tables beyond broadcast size are joined by level, frequent levels apart (see
+    `join_levels`), so a level held by a third of the rows does not end in one task.
     """
     by = list(by)
     codes = settle(codes, cells)
@@ -224,7 +224,7 @@ def apply_encode(
         seen = part.filter("n > 0").select(*by, key(F.col("level")).alias("_level"), F.col("value").alias("_v"))
         rest = part.filter("n = 0").select(*by, F.col("value").alias("_rest"))
         keyed = out.withColumn("_level", key(F.col(c)))
-        keyed = join_small(keyed, seen, [*by, "_level"], "left", rows=cells)
+        keyed = join_levels(keyed, seen, by, "_level", "_v", rows=cells)
         keyed = join_small(keyed, rest, by, "left", rows=cells)
         out = keyed.withColumn(f"{c}_code", F.coalesce("_v", "_rest")).select(*out.columns, f"{c}_code")
     return out

@@ -88,6 +88,32 @@ def test_repeated_keys_and_ties_are_counted(spark, monkeypatch, most):
             assert got[g] == sorted(x[1:] for x in data if x[0] == g)[k - 1]
 
 
+@pytest.mark.parametrize("limit", [100_000, 50])
+def test_level_tables_of_any_size(spark, monkeypatch, limit):
+    # A third of the rows hold one known level, a third one unknown level, the rest are rare.
+    monkeypatch.setattr(P, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(P, "HOT_LEVELS", 5)
+    rare = F.concat(F.lit("r"), F.col("id").cast("string"))
+    big = spark.range(3000).select(
+        "id",
+        (F.col("id") % 2).cast("int").alias("seed"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "new").otherwise(rare).alias("level"),
+    )
+    known = big.filter("level <> 'new' AND id % 5 <> 4").select("seed", "level").distinct().withColumn("v", F.length("level") + F.col("seed"))
+    want = {(r["seed"], r["level"]): r["v"] for r in known.collect()}
+    out = P.join_levels(big, known, ["seed"], "level", "v")
+    rows = out.collect()
+    assert len(rows) == 3000 and out.columns == ["id", "seed", "level", "v"]
+    assert all(r["v"] == want.get((r["seed"], r["level"])) for r in rows)
+
+
+def test_two_hundred_thousand_levels(spark):
+    big = spark.range(300_000).select("id", F.lit(1).alias("seed"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("level"))
+    known = big.select("seed", "level").distinct().withColumn("v", F.crc32("level"))
+    out = P.join_levels(big, known, ["seed"], "level", "v")
+    assert out.filter("v IS NULL OR v <> crc32(level)").count() == 0 and out.count() == 300_000
+
+
 def test_ranges_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(P, "RANGE_ROWS", 100)
     rows = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", F.lit(1).cast("bigint").alias("one"))
